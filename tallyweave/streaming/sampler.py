@@ -1,0 +1,71 @@
+"""Geometric sampling with state carried from one micro-batch to the next."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tallyweave.operators.sampling import gate_columns
+from tallyweave.spec import SketchSpec
+
+
+def _walk(start: int, slots: int, p: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """Sampled slots below ``slots`` of a walk standing at ``start``, and where it stands then."""
+    visited = []
+    position = start
+    while position < slots:
+        gaps = rng.geometric(p, size=max(16, int((slots - position) * p) + 1))
+        stops = position + np.concatenate(([0], np.cumsum(gaps)))
+        visited.append(stops[:-1][stops[:-1] < slots])
+        inside = int(np.searchsorted(stops, slots))
+        position = int(stops[inside]) if inside < len(stops) else int(stops[-1])
+    sampled = np.concatenate(visited) if visited else np.empty(0, np.int64)
+    return sampled.astype(np.int64), position - slots
+
+
+def sampled_packets(stream: DataFrame, spec: SketchSpec, packet_id: str, *, shards: int = 64) -> DataFrame:
+    """Packets of a stream with at least one sampled slot, with their gates.
+
+    The walk is kept per shard of the packet ids, not per source: the geometric
+    law has no memory, so any number of independent walks samples alike, and no
+    shard holds more than its share of the packets.
+    """
+    gates = gate_columns(spec)
+    packets = stream.select(packet_id, *spec.keys)
+    shard = F.pmod(F.xxhash64(F.lit(spec.sample_seed), F.col(packet_id)), F.lit(shards)).cast("int")
+    schema = packets.schema
+    for gate in gates:
+        schema = schema.add(gate, "int")
+    rows, p, seed = spec.rows, spec.p, spec.sample_seed
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        position, draws = state.get if state.exists else (None, 0)
+        for batch in batches:
+            rng = np.random.default_rng([seed, int(key[0]), draws])
+            if position is None:
+                position = int(rng.geometric(p)) - 1
+            sampled, position = _walk(position, len(batch) * rows, p, rng)
+            draws += 1
+            mask = np.zeros(len(batch) * rows, np.int32)
+            mask[sampled] = 1
+            mask = mask.reshape(len(batch), rows)
+            hit = mask.any(axis=1)
+            out = batch.loc[hit].drop(columns="_shard").reset_index(drop=True)
+            for row, gate in enumerate(gates):
+                out[gate] = mask[hit, row]
+            yield out
+        if position is not None:
+            state.update((position, draws))
+
+    return (
+        packets.withColumn("_shard", shard)
+        .groupBy("_shard")
+        .applyInPandasWithState(
+            step, schema, "position long, draws long", "append", GroupStateTimeout.NoTimeout
+        )
+    )
