@@ -60,8 +60,9 @@ def flat_index(row: Column, col: Column, cols: int) -> Column:
 
 
 def row_of(flat: Column, cols: int) -> Column:
-    return F.floor(flat / cols).cast("int")
+    """Row of a flat index; ``cols`` is a power of two."""
+    return F.shiftright(flat, cols.bit_length() - 1).cast("int")
 
 
 def col_of(flat: Column, cols: int) -> Column:
-    return F.pmod(flat, F.lit(cols)).cast("int")
+    return column_index(flat, cols).cast("int")

@@ -36,18 +36,20 @@ def cell_id(layer: Column, row: int, h: Column, spec: SketchSpec) -> Column:
 
 def number_cells(cells: DataFrame, spec: SketchSpec, by: Sequence[str] = ()) -> DataFrame:
     """Cells as ``(by..., cell, value)`` with the flat cell number."""
-    flat = (F.col("layer").cast("bigint") * spec.rows + F.col("row")) * spec.cols + F.col("col")
+    if "cell" in cells.columns:
+        return cells.select(*by, "cell", "value")
+    flat = bits.flat_index(F.col("layer") * spec.rows + F.col("row"), F.col("col"), spec.cols)
     return cells.select(*by, flat.alias("cell"), "value")
 
 
 def unnumber_cells(flat: DataFrame, spec: SketchSpec, by: Sequence[str] = ()) -> DataFrame:
-    cell = F.col("cell")
-    within = F.pmod(cell, F.lit(spec.layer_size))
+    """The inverse of :func:`number_cells`."""
+    line = bits.row_of(F.col("cell"), spec.cols)
     return flat.select(
         *by,
-        F.floor(cell / spec.layer_size).cast("int").alias("layer"),
-        bits.row_of(within, spec.cols).alias("row"),
-        bits.col_of(within, spec.cols).alias("col"),
+        F.floor(line / spec.rows).cast("int").alias("layer"),
+        F.pmod(line, F.lit(spec.rows)).alias("row"),
+        bits.col_of(F.col("cell"), spec.cols).alias("col"),
         "value",
     )
 
@@ -61,7 +63,10 @@ def fold(
     layer: Column | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Sum per-row weights of hashed rows into cells. Rows of weight 0 update nothing."""
+    """Sum per-row weights of hashed rows into numbered cells ``(by..., cell, value)``.
+
+    Rows of weight 0 update nothing.
+    """
     layer = F.lit(0) if layer is None else layer
     updates = []
     for row, (name, weight) in enumerate(zip(hash_columns(spec), weights)):
@@ -70,13 +75,12 @@ def fold(
         if signed:
             value = bits.sign(h, spec.sign_bit) * value
         updates += [cell_id(layer, row, h, spec), value]
-    flat = (
+    return (
         hashed.select(*by, F.stack(F.lit(spec.rows), *updates).alias("cell", "value"))
         .filter(F.col("value") != 0)
         .groupBy(*by, "cell")
         .agg(F.sum("value").alias("value"))
     )
-    return unnumber_cells(flat, spec, by)
 
 
 def count_keys(
@@ -86,10 +90,16 @@ def count_keys(
     by: Sequence[str] = (),
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Exact row count ``n`` per key; hot keys are folded before the shuffle."""
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    aggregates += [agg.alias(name) for name, agg in (extra or {}).items()]
-    return flows.groupBy(*by, *spec.keys).agg(*aggregates)
+    """Exact row count ``n`` per key; hot keys are folded before the shuffle.
+
+    The table is usually read twice, for cells and for candidates. The condition at
+    the end always holds; it keeps all counters in use by every reader, so that
+    their plans agree and Spark shuffles the counts once and reuses the exchange.
+    """
+    extra = extra or {}
+    aggregates = [F.count(F.lit(1)).alias("n"), *[agg.alias(name) for name, agg in extra.items()]]
+    counted = flows.groupBy(*by, *spec.keys).agg(*aggregates)
+    return counted.filter(reduce(lambda a, b: a + b, [F.col(c) for c in ("n", *extra)]) > 0)
 
 
 def build(
@@ -119,7 +129,8 @@ def build(
     if layered:
         hashed = hashed.withColumn("_layer", deepest_layer(F.col("_hl"), spec))
         layer = F.col("_layer")
-    return fold(hashed, spec, [weight] * spec.rows, signed=signed, layer=layer, by=by)
+    flat = fold(hashed, spec, [weight] * spec.rows, signed=signed, layer=layer, by=by)
+    return unnumber_cells(flat, spec, by)
 
 
 def build_count_min(flows: DataFrame, spec: SketchSpec, **options) -> DataFrame:
@@ -138,17 +149,20 @@ def merge(*cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return together.groupBy(*by, *CELL).agg(F.sum("value").alias("value"))
 
 
-def nested(cells: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def nest_numbered(flat: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`nested` for numbered cells."""
+    cell, step = F.col("cell"), F.lit(spec.layer_size).cast("bigint")
+    credited = F.explode(F.sequence(F.pmod(cell, step), cell, step))
+    return flat.select(*by, credited.alias("cell"), "value").groupBy(*by, "cell").agg(F.sum("value").alias("value"))
+
+
+def nested(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:
     """Layers as subsets of each other: layer j holds every key whose deepest layer is j or more.
 
     Keys only update their deepest layer, so each cell is also credited to the
     layers above it.
     """
-    return (
-        cells.select(*by, F.explode(F.sequence(F.lit(0), F.col("layer"))).alias("layer"), "row", "col", "value")
-        .groupBy(*by, *CELL)
-        .agg(F.sum("value").alias("value"))
-    )
+    return unnumber_cells(nest_numbered(number_cells(cells, spec, by), spec, by=by), spec, by)
 
 
 def to_dense(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import with_hashes
 from tallyweave.operators import topk
-from tallyweave.operators.cells import build_count_sketch, count_keys, deepest_layer, fold, nested
+from tallyweave.operators.cells import build_count_sketch, count_keys, deepest_layer, fold, nest_numbered
 from tallyweave.operators.estimate import fold_median, probe
 from tallyweave.spec import SketchSpec
 
@@ -62,18 +62,19 @@ def heavy_hitters(
     return ranked.select(*by, "layer", "rank", "est", *spec.keys, "deepest")
 
 
-def summarize(flows: DataFrame, spec: SketchSpec) -> DataFrame:
-    """Heavy hitters of all layers straight from flow rows.
+def summarize(
+    flows: DataFrame, spec: SketchSpec, *, by: Sequence[str] = (), summaries: int = 1
+) -> DataFrame:
+    """Heavy hitters of all layers straight from flow rows, one list per group of ``by``.
 
     Keys are counted once; both the cells and the candidates come from that one
     shuffled table.
     """
-    counts = count_keys(flows, spec)
+    counts = count_keys(flows, spec, by=by)
     hashed = with_hashes(counts, spec, layer_hash=True)
-    cells = fold(
-        hashed, spec, [F.col("n")] * spec.rows, signed=True, layer=deepest_layer(F.col("_hl"), spec)
-    )
-    return heavy_hitters(counts, nested(cells), spec)
+    deepest = deepest_layer(F.col("_hl"), spec)
+    cells = fold(hashed, spec, [F.col("n")] * spec.rows, signed=True, layer=deepest, by=by)
+    return heavy_hitters(counts, nest_numbered(cells, spec, by=by), spec, by=by, summaries=summaries)
 
 
 # Functions of one frequency, for gsum. ---------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.numeric import round2
 from tallyweave.operators import ordered
+from tallyweave.session import stored
 
 CHUNK_SAMPLES = 3600
 
@@ -49,20 +50,23 @@ def per_interval(
     """Counts per tumbling interval, named by its start ``ts``.
 
     ``fill`` adds zero rows for empty intervals between the first and the last of a
-    series; each row fills the hole up to its successor, so no task holds a series.
+    series. It runs the counting at once and stores its small result.
     """
-    step = F.expr(f"interval {seconds} seconds")
     counted = (
         flows.groupBy(*by, F.window("ts", f"{seconds} seconds").alias("_w"))
         .agg(*counter_aggregates(**which))
         .withColumn("ts", F.col("_w")["start"])
-        .drop("_w")
     )
     values = [c for c in counted.columns if c in ("packets", "bytes")]
     counted = counted.select(*by, "ts", *values)
-    if not fill:
-        return counted
-    following = ordered.neighbour(counted, by, "ts", _chunk(F.col("ts"), seconds), {"_next": "ts"}, ahead=True)
+    return fill_intervals(stored(counted, "intervals"), seconds, by=by) if fill else counted
+
+
+def fill_intervals(intervals: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) -> DataFrame:
+    """Each row also fills the hole up to its successor with zero rows."""
+    step = F.expr(f"interval {seconds} seconds")
+    values = [c for c in intervals.columns if c in ("packets", "bytes")]
+    following = ordered.neighbour(intervals, by, "ts", _chunk(F.col("ts"), seconds), {"_next": "ts"}, ahead=True)
     last = F.coalesce(F.col("_next") - step, F.col("ts"))
     slots = following.withColumn("_slot", F.explode(F.sequence(F.col("ts"), last, step)))
     own = F.col("_slot") == F.col("ts")
@@ -82,6 +86,11 @@ def snapshots(intervals: DataFrame, seconds: int = 1, *, by: Sequence[str] = ())
     return summed.select(*by, "ts", *[F.col(f"_sum_{v}").alias(v) for v in values])
 
 
+def interval_deltas(intervals: DataFrame, value: str = "packets", *, by: Sequence[str] = ()) -> DataFrame:
+    """Deltas where the counts per interval are at hand: the counts themselves."""
+    return intervals.select(*by, "ts", F.col(value).alias("delta"))
+
+
 def counter_deltas(
     counters: DataFrame, value: str = "packets", seconds: int = 1, *, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -114,29 +123,40 @@ def discard_warm_up(
     return numbered(samples, seconds, by=by).filter(F.col("sample") > count).drop("sample")
 
 
-def average_rate(deltas: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) -> DataFrame:
+def average_rate(deltas: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Mean delta without the first sample, to two decimals; null below two samples."""
-    rate = F.avg(F.when(F.col("sample") > 1, F.col("delta")))
-    return numbered(deltas, seconds, by=by).groupBy(*by).agg(round2(rate).alias("avg_rate"))
+    others = F.count(F.lit(1)) - 1
+    rest = F.sum("delta") - F.min_by("delta", "ts")
+    return deltas.groupBy(*by).agg(round2(F.when(others > 0, rest / others)).alias("avg_rate"))
 
 
 def peak_rate(deltas: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) -> DataFrame:
-    """Largest delta after two warm-up samples; the last two samples always count."""
-    position, delta = F.col("sample"), F.col("delta")
-    parts = numbered(deltas, seconds, by=by).groupBy(*by).agg(
-        F.max("sample").alias("_n"),
-        F.max(F.when(position == 1, delta)).alias("_first"),
-        F.max(F.when(position == 2, delta)).alias("_second"),
-        F.max(F.when(position > 2, delta)).alias("_steady"),
+    """Largest delta after two warm-up samples; the last two samples always count.
+
+    Chunks are reduced to their first two samples and the maximum of the others, so
+    only these meet in one place.
+    """
+    sample = F.struct("ts", "delta")
+    chunks = (
+        deltas.groupBy(*by, _chunk(F.col("ts"), seconds).alias("_chunk"))
+        .agg(F.array_sort(F.collect_list(sample)).alias("_s"))
+        .select(
+            *by,
+            F.slice("_s", 1, 2).alias("_head"),
+            F.array_max(F.transform(F.slice("_s", 3, CHUNK_SAMPLES), lambda x: x["delta"])).alias("_rest"),
+            F.size("_s").alias("_n"),
+        )
+    )
+    whole = chunks.groupBy(*by).agg(
+        F.array_sort(F.flatten(F.collect_list("_head"))).alias("_heads"),
+        F.max("_rest").alias("_rest"),
+        F.sum("_n").alias("_n"),
     )
     n = F.col("_n")
     # The last two samples are warm-up samples only in series of three or fewer.
-    peak = F.greatest(
-        F.col("_steady"),
-        F.when(n <= 3, F.col("_second")),
-        F.when(n <= 2, F.col("_first")),
-    )
-    return parts.select(*by, peak.alias("peak_rate"))
+    skipped = F.when(n >= 4, 2).when(n == 3, 1).otherwise(0)
+    steady = F.array_max(F.transform(F.slice("_heads", skipped + 1, F.greatest(F.size("_heads"), F.lit(1))), lambda x: x["delta"]))
+    return whole.select(*by, F.greatest(steady, F.col("_rest")).alias("peak_rate"))
 
 
 def throughput(delta: Column, units_per_packet: int) -> Column:

@@ -14,22 +14,25 @@ from pyspark.sql import functions as F
 from tallyweave.functions import numeric
 from tallyweave.functions.bits import U32_MASK
 from tallyweave.functions.hashing import md5_u32, with_hashes
-from tallyweave.operators.cells import count_keys, deepest_layer, fold
+from tallyweave.operators.cells import count_keys, deepest_layer, fold, unnumber_cells
 from tallyweave.spec import SketchSpec
 
 
-def gate_draws(spec: SketchSpec, packet_id: str, purpose: str = "row", count: int | None = None) -> list[Column]:
+def gate_draws(
+    spec: SketchSpec,
+    packet_id: str,
+    purpose: str = "row",
+    count: int | None = None,
+    seed: Column | None = None,
+) -> list[Column]:
     """Repeatable uniform 32-bit values of a packet, one per row."""
     count = spec.rows if count is None else count
+    seed = F.lit(spec.sample_seed) if seed is None else seed
     if spec.family in ("md5", "md5_rows"):
-        draws: list[Column] = []
-        while len(draws) < count:
-            draws += md5_u32(purpose, spec.sample_seed, len(draws) // 4, F.col(packet_id))
+        digests = range((count + 3) // 4)
+        draws = [draw for i in digests for draw in md5_u32(purpose, seed, i, F.col(packet_id))]
         return draws[:count]
-    words = [
-        F.xxhash64(F.lit(purpose), F.lit(spec.sample_seed), F.lit(i), F.col(packet_id))
-        for i in range((count + 1) // 2)
-    ]
+    words = [F.xxhash64(F.lit(purpose), seed, F.lit(i), F.col(packet_id)) for i in range((count + 1) // 2)]
     halves = [half for w in words for half in (F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(U32_MASK)))]
     return halves[:count]
 
@@ -63,7 +66,8 @@ def build_sampled(
     sampled = gated.filter(reduce(lambda a, b: a + b, [F.col(g) for g in gate_columns(spec)]) > 0)
     hashed = with_hashes(sampled, spec, layer_hash=layered)
     layer = deepest_layer(F.col("_hl"), spec) if layered else None
-    return fold(hashed, spec, [F.col(g) for g in gate_columns(spec)], signed=True, layer=layer, by=by)
+    flat = fold(hashed, spec, [F.col(g) for g in gate_columns(spec)], signed=True, layer=layer, by=by)
+    return unnumber_cells(flat, spec, by)
 
 
 def count_sampled_keys(
@@ -84,7 +88,7 @@ def count_sampled_keys(
 
 
 def build_from_counts(counts: DataFrame, spec: SketchSpec, *, layered: bool = False) -> DataFrame:
-    """Cells from the output of :func:`count_sampled_keys`."""
+    """Numbered cells from the output of :func:`count_sampled_keys`."""
     hashed = with_hashes(counts, spec, layer_hash=layered)
     layer = deepest_layer(F.col("_hl"), spec) if layered else None
     return fold(hashed, spec, [F.col(f"n{r}") for r in range(spec.rows)], signed=True, layer=layer)
@@ -149,4 +153,4 @@ def build_geometric(packets: DataFrame, spec: SketchSpec, packet_id: str) -> Dat
     gated = with_geometric_gates(packets.select(packet_id, *spec.keys), spec, packet_id)
     sampled = gated.filter(reduce(lambda a, b: a + b, [F.col(g) for g in gate_columns(spec)]) > 0)
     hashed = with_hashes(sampled, spec)
-    return fold(hashed, spec, [F.col(g) for g in gate_columns(spec)], signed=True)
+    return unnumber_cells(fold(hashed, spec, [F.col(g) for g in gate_columns(spec)], signed=True), spec)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import numeric
@@ -26,32 +26,38 @@ SWEEP_P = (0.01, *[round(0.05 * i, 2) for i in range(1, 20)], 1.0)
 SWEEP_SEEDS = (1234, 2375, 3522, 23738, 1918)
 
 
+def _first_admitting(draw: Column, ps: Sequence[float], low: int = 0) -> Column:
+    """Number of the smallest probability whose gate a draw passes, by halving the sorted list."""
+    if not ps:
+        return F.lit(low)
+    middle = len(ps) // 2
+    passes = draw < F.lit(numeric.threshold_u32(ps[middle]))
+    return F.when(passes, _first_admitting(draw, ps[:middle], low)).otherwise(
+        _first_admitting(draw, ps[middle + 1 :], low + middle + 1)
+    )
+
+
 def sweep_cells(
     packets: DataFrame, spec: SketchSpec, packet_id: str, ps: Sequence[float], seeds: Sequence[int]
 ) -> DataFrame:
     """Cells ``(s, q, cell, value)`` for seed number ``s`` and probability number ``q``."""
     ps = sorted(ps)
     hashed = with_hashes(packets.select(packet_id, *spec.keys), spec)
-    draws = {
-        f"_d{s}_{row}": draw
-        for s, seed in enumerate(seeds)
-        for row, draw in enumerate(gate_draws(spec.with_(sample_seed=seed), packet_id))
-    }
-    # Number of thresholds a draw does not pass = number of the first p that admits it.
-    thresholds = [numeric.threshold_u32(p) for p in ps]
-    firsts = {
-        name.replace("_d", "_q"): sum(((F.col(name) >= F.lit(t)).cast("int") for t in thresholds), F.lit(0))
-        for name in draws
-    }
-    gates = hashed.withColumns(draws).withColumns(firsts)
-    updates = [(s, row, h) for s in range(len(seeds)) for row, h in enumerate(hash_columns(spec))]
-    slots = [
+    numbered_seeds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("v")) for i, s in enumerate(seeds)])
+    runs = hashed.withColumn("_run", F.explode(numbered_seeds))
+    draws = gate_draws(spec, packet_id, seed=F.col("_run.v"))
+    drawn = runs.withColumns({f"_d{row}": draw for row, draw in enumerate(draws)})
+    updates = [
         value
-        for s, row, h in updates
-        for value in (F.lit(s), F.col(f"_q{s}_{row}"), cell_id(F.lit(0), row, F.col(h), spec), sign(F.col(h), spec.sign_bit))
+        for row, h in enumerate(hash_columns(spec))
+        for value in (
+            _first_admitting(F.col(f"_d{row}"), ps),
+            cell_id(F.lit(0), row, F.col(h), spec),
+            sign(F.col(h), spec.sign_bit),
+        )
     ]
     admitted = (
-        gates.select(F.stack(F.lit(len(updates)), *slots).alias("s", "_first", "cell", "_sign"))
+        drawn.select(F.col("_run.i").alias("s"), F.stack(F.lit(spec.rows), *updates).alias("_first", "cell", "_sign"))
         .filter(F.col("_first") < len(ps))
         .groupBy("s", "_first", "cell")
         .agg(F.sum("_sign").alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import bits, hashing, net, numeric
 from tallyweave.functions.hashing import hash_columns, md5_u32, with_hashes
 from tallyweave.operators import cells, estimate, keyed, layered, rates, sampling, sweep, topk
-from tallyweave.session import fresh_path
+from tallyweave.session import fresh_path, stored
 from tallyweave.sources import flows as flow_tables
 from tallyweave.sources import frames, schemas, stores
 from tallyweave.spec import DEFAULT_LAYER_SEED, DEFAULT_SEED, FLOW_KEY, SketchSpec
@@ -27,6 +27,7 @@ MD5_ROWS = SketchSpec(family="md5_rows")
 LAYERED = SketchSpec(family="md5", layers=16, heap_size=64)
 SAMPLED = SketchSpec(family="md5", p=0.25)
 HOUR = 3600
+CPUS = 4
 SLOTS = 64
 
 
@@ -385,30 +386,29 @@ def counter_snapshots(spark, d):
     return rates.snapshots(_hourly(spark, d), HOUR, by=("cpu",))
 
 
-def _deltas(spark, d, by=("cpu",), value="packets") -> DataFrame:
-    totals = rates.snapshots(_hourly(spark, d, by), HOUR, by=by)
-    return rates.counter_deltas(totals, value, HOUR, by=by)
-
-
 @query
 def counter_deltas(spark, d):
-    return _deltas(spark, d)
+    """Deltas of stored snapshots, as a reader of the counters sees them."""
+    counters = stored(counter_snapshots(spark, d), "snapshots")
+    return rates.counter_deltas(counters, "packets", HOUR, by=("cpu",))
 
 
 @query
 def avg_rate(spark, d):
-    return rates.average_rate(_deltas(spark, d), HOUR, by=("cpu",))
+    deltas = rates.interval_deltas(_hourly(spark, d), by=("cpu",))
+    return rates.average_rate(deltas, by=("cpu",))
 
 
 @query
 def avg_byte_rate(spark, d):
-    mean = rates.average_rate(_deltas(spark, d, by=(), value="bytes"), HOUR)
+    mean = rates.average_rate(rates.interval_deltas(_hourly(spark, d, by=()), "bytes"))
     return mean.select("avg_rate", numeric.gbps(F.col("avg_rate")).alias("avg_gbps"))
 
 
 @query
 def peak_rate(spark, d):
-    return rates.peak_rate(_deltas(spark, d), HOUR, by=("cpu",))
+    deltas = rates.interval_deltas(_hourly(spark, d), by=("cpu",))
+    return rates.peak_rate(deltas, HOUR, by=("cpu",))
 
 
 @query
@@ -420,7 +420,7 @@ def bounded_read(spark, d):
 
 @query
 def throughput_units(spark, d):
-    deltas = _deltas(spark, d)
+    deltas = rates.interval_deltas(_hourly(spark, d), by=("cpu",))
     return deltas.select("cpu", "ts", rates.throughput(F.col("delta"), 100).alias("mega_units"))
 
 
@@ -486,7 +486,7 @@ def layered_cells(spark, d):
 
 @query
 def layered_nested(spark, d):
-    return cells.nested(layered.build_layered(li_counted(spark, d), LAYERED))
+    return cells.nested(layered.build_layered(li_counted(spark, d), LAYERED), LAYERED)
 
 
 def _heap(spark, d) -> DataFrame:
@@ -511,10 +511,7 @@ def top_layer_k(spark, d):
 @query
 def topk_merge(spark, d):
     """One heavy-hitter list per source CPU; the same key in several lists is added up."""
-    packets = ev_counted(spark, d)
-    built = cells.nested(layered.build_layered(packets, LAYERED, by=("cpu",)), by=("cpu",))
-    keys = packets.select("cpu", *FLOW_KEY).distinct()
-    lists = layered.heavy_hitters(keys, built, LAYERED, by=("cpu",))
+    lists = layered.summarize(ev_counted(spark, d), LAYERED, by=("cpu",), summaries=CPUS)
     return topk.merge_heaps(lists, LAYERED)
 
 
@@ -550,7 +547,7 @@ def sampled_layered(spark, d):
     counts = sampling.count_sampled_keys(ev_counted(spark, d), spec, "packet_id", refresh_p=0.5)
     built = sampling.build_from_counts(counts, spec, layered=True)
     candidates = counts.filter(F.col("refreshes") > 0)
-    return layered.heavy_hitters(candidates, cells.nested(built), spec)
+    return layered.heavy_hitters(candidates, cells.nest_numbered(built, spec), spec)
 
 
 # Medians ---------------------------------------------------------------------------------

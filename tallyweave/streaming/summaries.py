@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyweave.functions.hashing import with_hashes
-from tallyweave.operators.cells import build, deepest_layer, fold, merge, nested
+from tallyweave.operators.cells import build, deepest_layer, fold, nest_numbered
 from tallyweave.operators.layered import heavy_hitters
 from tallyweave.operators.rates import counter_aggregates
 from tallyweave.sources import schemas as S
@@ -103,7 +103,8 @@ def start_heavy_hitters(
     """Keep cells and the heavy-hitter list of every layer current.
 
     Candidates of a micro-batch are its own keys and the listed ones; their
-    estimates come from the merged cells. ``heap`` is rewritten after ``cells``.
+    estimates come from the merged cells, stored in numbered form. ``heap`` is
+    rewritten after ``cells``.
     """
     spark = stream.sparkSession
 
@@ -115,10 +116,11 @@ def start_heavy_hitters(
         )
         candidates = counts.select(*spec.keys)
         if batch > 0:
-            added = merge(added, cells.read(batch - 1))
+            both = added.unionByName(cells.read(batch - 1))
+            added = both.groupBy("cell").agg(F.sum("value").alias("value"))
             candidates = candidates.unionByName(heap.read(batch - 1).select(*spec.keys)).distinct()
         cells.write(added, batch)
-        current = nested(cells.read(batch))
+        current = nest_numbered(cells.read(batch), spec)
         heap.write(heavy_hitters(candidates, current, spec), batch)
 
     return _start(stream.writeStream.foreachBatch(update), checkpoint, trigger)
