@@ -47,7 +47,7 @@ def probe(
         )
         matches = F.col(f"_c{row}") == F.col("_cell")
         for b in by:
-            matches = matches & (F.col(b) == F.col(f"_b_{b}"))
+            matches = matches & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
         hashed = hashed.join(F.broadcast(side) if bounded else side, matches, "left")
         hashed = hashed.drop("_cell", f"_c{row}", *[f"_b_{b}" for b in by])
     return hashed.fillna(0, [f"_v{r}" for r in range(spec.rows)])

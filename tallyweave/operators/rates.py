@@ -6,6 +6,7 @@ series are scanned in chunks (see :mod:`tallyweave.operators.ordered`).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from tallyweave.functions.numeric import round2
 from tallyweave.operators import ordered
 from tallyweave.session import stored
 
+#: Samples a chunk should hold at least; one day at most when samples are frequent.
 CHUNK_SAMPLES = 3600
 
 
@@ -36,12 +38,10 @@ def per_protocol(flows: DataFrame) -> DataFrame:
     return flows.groupBy("proto").agg(F.count(F.lit(1)).alias("packets"))
 
 
-def _epoch_micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def _chunk(ts: Column, seconds: int) -> Column:
-    return F.floor(_epoch_micros(ts) / (seconds * 1_000_000 * CHUNK_SAMPLES))
+    """Chunk of a sample: whole days, so that it follows ``ts`` in any time zone."""
+    days = max(1, math.ceil(seconds * CHUNK_SAMPLES / 86400))
+    return F.floor(F.unix_date(ts.cast("date")) / days)
 
 
 def per_interval(
@@ -143,7 +143,7 @@ def peak_rate(deltas: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) ->
         .select(
             *by,
             F.slice("_s", 1, 2).alias("_head"),
-            F.array_max(F.transform(F.slice("_s", 3, CHUNK_SAMPLES), lambda x: x["delta"])).alias("_rest"),
+            F.array_max(F.transform(F.slice("_s", F.lit(3), F.size("_s") + 1), lambda x: x["delta"])).alias("_rest"),
             F.size("_s").alias("_n"),
         )
     )

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyweave.operators.sampling import gate_columns
@@ -38,9 +39,7 @@ def sampled_packets(stream: DataFrame, spec: SketchSpec, packet_id: str, *, shar
     gates = gate_columns(spec)
     packets = stream.select(packet_id, *spec.keys)
     shard = F.pmod(F.xxhash64(F.lit(spec.sample_seed), F.col(packet_id)), F.lit(shards)).cast("int")
-    schema = packets.schema
-    for gate in gates:
-        schema = schema.add(gate, "int")
+    schema = T.StructType([*packets.schema, *[T.StructField(gate, T.IntegerType()) for gate in gates]])
     rows, p, seed = spec.rows, spec.p, spec.sample_seed
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
