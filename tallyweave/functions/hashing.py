@@ -155,9 +155,14 @@ def with_hashes(df: DataFrame, spec: SketchSpec, *, layer_hash: bool = False) ->
         rows = [lane(F.col("_h"), i) for i in range(spec.rows)]
         layer = F.xxhash64(F.lit(spec.layer_seed), *keys).bitwiseAND(F.lit(U32_MASK))
     elif family == "md5":
-        base = {"_h": F.md5(net.key_text(*keys))}
-        rows = [hex_number(F.col("_h"), 4 * i + 1, 4) for i in range(spec.rows)]
-        layer = hex_number(F.col("_h"), 17, 8)
+        df = df.withColumn("_k", F.md5(net.key_text(*keys)))
+        base = {f"_p{i}": hex_number(F.col("_k"), 8 * i + 1, 8) for i in range((spec.rows + 1) // 2)}
+        if layer_hash:
+            base["_hl"] = hex_number(F.col("_k"), 17, 8)
+        rows = [
+            F.shiftright(F.col(f"_p{i // 2}"), 0 if i % 2 else 16).bitwiseAND(F.lit(0xFFFF)) for i in range(spec.rows)
+        ]
+        layer = F.col("_hl")
     elif family == "fast":
         base = {"_k": _packed(spec)}
         base_hash = fasthash64(F.col("_k"), spec.seed)
@@ -186,4 +191,4 @@ def with_hashes(df: DataFrame, spec: SketchSpec, *, layer_hash: bool = False) ->
     out = dict(zip(hash_columns(spec), rows))
     if layer_hash:
         out["_hl"] = layer
-    return df.withColumns(out).drop("_h", "_k")
+    return df.withColumns(out).drop("_h", "_k", "_p0", "_p1")

@@ -11,13 +11,13 @@ _DOTTED = r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"
 
 def ip_to_long(text: Column) -> Column:
     """Dotted IPv4 text as a bigint; null when it is not an address."""
-    parts = F.split(text, r"\.")
-    octets = [F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i in range(1, 5)]
-    in_range = octets[0] <= 255
-    for octet in octets[1:]:
-        in_range = in_range & (octet <= 255)
-    value = octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3]
-    return F.when(text.rlike(_DOTTED) & in_range, value)
+
+    def append(ip: Column, part: Column) -> Column:
+        octet = part.try_cast("bigint")
+        return ip * 256 + F.when(octet <= 255, octet)
+
+    value = F.aggregate(F.split(text, r"\."), F.lit(0).cast("bigint"), append)
+    return F.when(text.rlike(_DOTTED), value)
 
 
 def long_to_ip(ip: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from tallyweave.functions.kernels import xxhash64 as xxhash64_of
 from tallyweave.operators.sweep import SWEEP_P, SWEEP_SEEDS
 
 KEY = "src_ip, dst_ip, src_port, dst_port, proto"
@@ -162,9 +165,10 @@ class Steps:
         self.parts = list(start)
         self.source = source
         self.columns = list(columns)
+        self.prefix = ""
 
     def set(self, name: str, expression: str) -> None:
-        step = f"s{len(self.parts)}"
+        step = f"{self.prefix}s{len(self.parts)}"
         kept = [c for c in self.columns if c != name]
         self.parts.append(f"{step} AS MATERIALIZED (SELECT {', '.join(kept)}, {expression} AS {name} FROM {self.source})")
         self.columns = [*kept, name]
@@ -393,21 +397,94 @@ SELECT packet_id, CAST(floor((src_port - 1500 + wire_len - 300) / 2.0) AS INTEGE
 
 # Cells and estimates ---------------------------------------------------------------
 
+# The primes of xxHash.
+P1, P2, P3 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+P4, P5 = 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
-def updates(source: str = "flows", weight: str = "1", rows_hash: bool = False, extra: str = "") -> str:
-    """CTE ``upd``: one row per (input row, summary row) with column, sign and weight."""
-    if rows_hash:
+
+def _chain(q: Steps, column: str, wide: bool) -> None:
+    """Fold one integer column into ``h`` as Spark's xxhash64 does."""
+    q.set("h", _add64("h", str(P5 + (8 if wide else 4))))
+    if wide:
+        q.set("v", _mul64(column, P2))
+        q.set("v", _mul64(_rotl64("v", 31), P1))
+        q.set("h", "xor(h, v)")
+        q.set("h", _add64(_mul64(_rotl64("h", 27), P1), str(P4)))
+    else:
+        q.set("h", f"xor(h, {_mul64(column, P1)})")
+        q.set("h", _add64(_mul64(_rotl64("h", 23), P2), str(P3)))
+    q.set("h", _mul64("xor(h, h >> 33)", P2))
+    q.set("h", _mul64("xor(h, h >> 29)", P3))
+    q.set("h", "xor(h, h >> 32)")
+
+
+def _constant(value: int, seed: int, wide: bool) -> int:
+    """The same for a literal, so that the SQL starts from a number."""
+    m = (1 << 64) - 1
+
+    def rotl(x: int, r: int) -> int:
+        return ((x << r) | (x >> (64 - r))) & m
+
+    h = (seed + P5 + (8 if wide else 4)) & m
+    if wide:
+        h = rotl(h ^ (rotl(value * P2 & m, 31) * P1 & m), 27) * P1 + P4 & m
+    else:
+        h = rotl(h ^ (value * P1 & m), 23) * P2 + P3 & m
+    h = (h ^ (h >> 33)) * P2 & m
+    h = (h ^ (h >> 29)) * P3 & m
+    return h ^ (h >> 32)
+
+
+def _text(text: str) -> int:
+    """Hash of a leading text literal."""
+    key = np.frombuffer(text.encode(), np.uint8).reshape(1, -1)
+    return int(xxhash64_of(key, 42)[0])
+
+
+def _xx_columns(prefix: str, source: str, columns: str, start: dict[str, int], wide: tuple[bool, ...]) -> str:
+    """CTEs ending in ``prefix``: distinct ``columns`` with one chained hash per start value."""
+    names = [c.strip() for c in columns.split(",")]
+    q = Steps(f"{prefix}0 AS (SELECT DISTINCT {columns} FROM {source})", source=f"{prefix}0", columns=tuple(names))
+    q.prefix = prefix
+    for name, seed in start.items():
+        q.set("h", f"CAST({seed} AS UBIGINT)")
+        for column, is_wide in zip(names, wide):
+            _chain(q, column, is_wide)
+        q.set(name, "h")
+    return ",\n".join(q.parts) + f",\n{prefix} AS (SELECT * FROM {q.source})"
+
+
+KEY_WIDE = (True, True, False, False, False)
+
+
+def lanes(source: str = "flows", family: str = "xx") -> str:
+    """CTE ``lanes``: 16-bit lanes l0..l3 and layer hash lh of every key of ``source``."""
+    if family == "xx":
+        start = {"hk": _constant(0x2D31E867, 42, False), "hl": _constant(0xDEADBEEF, 42, True)}
+        cut = ", ".join(f"CAST((hk >> {16 * i}) & 65535 AS BIGINT) AS l{i}" for i in range(4))
+        return _xx_columns("kh", source, KEY, start, KEY_WIDE) + f""",
+lanes AS (SELECT {KEY}, {cut}, CAST(hl & {U32} AS BIGINT) AS lh FROM kh)"""
+    if family == "md5":
+        digest = f"md5({KEY_TEXT})"
+        cut = ", ".join(f"{hex_at(digest, 4 * i + 1, 4)} AS l{i}" for i in range(4))
+        layer = hex_at(digest, 17, 8)
+    else:
         # One seed per row.
         seeds = (0x2D31E867, 0x6AD611C4, 0x00000000, 0xFFFFFFFF)
-        lanes = [md5_word(f"{s} || '|' || {KEY_TEXT}") for s in seeds]
-    else:
-        lanes = [hex_at(f"md5({KEY_TEXT})", 4 * i + 1, 4) for i in range(4)]
-    bit = 31 if rows_hash else 15
+        cut = ", ".join(f"{md5_word(f"{s} || '|' || {KEY_TEXT}")} AS l{i}" for i, s in enumerate(seeds))
+        layer = "0"
+    return f"lanes AS (SELECT {KEY}, {cut}, {layer} AS lh FROM (SELECT DISTINCT {KEY} FROM {source}))"
+
+
+def updates(source: str = "flows", weight: str = "1", family: str = "xx", keys: str | None = None) -> str:
+    """CTE ``upd``: one row per (input row, summary row) with column, sign and weight."""
+    bit = 31 if family == "md5_rows" else 15
     selects = [
-        f"SELECT *, {i} AS r, {lane} & 511 AS col, {sign_of(lane, bit)} AS sgn, {weight} AS w FROM {source}{extra}"
-        for i, lane in enumerate(lanes)
+        f"SELECT {source}.*, {i} AS r, l{i} & 511 AS col, {sign_of(f'l{i}', bit)} AS sgn, {weight} AS w"
+        f" FROM {source} JOIN lanes USING ({KEY})"
+        for i in range(4)
     ]
-    return "upd AS (" + " UNION ALL ".join(selects) + ")"
+    return lanes(keys or source, family) + ",\nupd AS (" + " UNION ALL ".join(selects) + ")"
 
 
 CM_CELLS = "cells AS (SELECT r, col, sum(w) AS v FROM upd GROUP BY r, col)"
@@ -417,10 +494,11 @@ CAST(v AS BIGINT) AS value FROM cells"""
 
 for name, flows, signed, options in (
     ("cm_cells", EV, False, {}),
+    ("cm_cells_md5", EV, False, {"family": "md5"}),
     ("cm_cells_lineitem", LI, False, {}),
     ("cs_cells", EV, True, {}),
     ("cs_cells_lineitem", LI, True, {}),
-    ("cs_cells_per_row_hash", EV, True, {"rows_hash": True}),
+    ("cs_cells_per_row_hash", EV, True, {"family": "md5_rows"}),
     ("cs_cells_bytes", EV, True, {"weight": "wire_len"}),
     ("sketch_merge", EV, True, {}),
     ("sketch_saved", EV, False, {}),
@@ -448,10 +526,9 @@ KEYS = f"keys AS (SELECT {KEY}, count(*) AS n FROM flows GROUP BY {KEY})"
 
 def probes(source: str, columns: str) -> str:
     """CTE ``found``: the four cells of every row of ``source``."""
-    lanes = [hex_at(f"md5({KEY_TEXT})", 4 * i + 1, 4) for i in range(4)]
     asked = " UNION ALL ".join(
-        f"SELECT {columns}, {i} AS r, {lane} & 511 AS col, {sign_of(lane)} AS sgn FROM {source}"
-        for i, lane in enumerate(lanes)
+        f"SELECT {columns}, {i} AS r, l{i} & 511 AS col, {sign_of(f'l{i}')} AS sgn FROM {source} JOIN lanes USING ({KEY})"
+        for i in range(4)
     )
     return f"""asked AS ({asked}),
 found AS (SELECT {', '.join('asked.' + c.strip() for c in columns.split(','))}, sgn, coalesce(v, 0) AS v
@@ -468,7 +545,7 @@ ORACLES["cs_estimate"] = with_(EV, updates(), CS_CELLS, KEYS, probes("keys", f"{
 SELECT {KEY}, n, CAST(median(CAST(sgn * v AS DOUBLE)) AS DOUBLE) AS est FROM found GROUP BY {KEY}, n"""
 ORACLES["cs_estimate_floor"] = with_(LI, updates(), CS_CELLS, KEYS, probes("keys", f"{KEY}, n")) + f"""
 SELECT {KEY}, n, CAST(floor(median(CAST(sgn * v AS DOUBLE))) AS BIGINT) AS est FROM found GROUP BY {KEY}, n"""
-ORACLES["point_query_text"] = with_(EV, updates(), CM_CELLS,
+ORACLES["point_query_text"] = with_(EV, updates("flows", keys="ev"), CM_CELLS,
   "asked_keys AS (SELECT * FROM ev WHERE packet_id % 11 NOT IN (1, 2, 3, 4))",
   probes("asked_keys", "packet_id")) + """
 SELECT packet_id, CAST(min(v) AS BIGINT) AS est FROM found GROUP BY packet_id"""
@@ -532,29 +609,50 @@ def threshold(p: float) -> int:
     return 1 << 32 if p >= 1 else int(4294967295 * p)
 
 
-def gate(seed: object, row: str = "r") -> str:
-    text = f"concat_ws('|', 'row', {seed}, 0, packet_id)"
-    return f"CAST(('0x' || substr(md5({text}), CAST(8 * {row} + 1 AS BIGINT), 8)) AS BIGINT)"
+def gates(seeds: tuple[int, ...], source: str = "flows", purpose: str = "row", name: str = "u") -> str:
+    """CTE ``draws_<purpose>``: uniform 32-bit values ``u`` of every (packet, seed, row)."""
+    start = {
+        f"g{s}_{i}": _constant(i, _constant(s, _text(purpose), False), False) for s in seeds for i in range(2)
+    }
+    halves = " UNION ALL ".join(
+        f"SELECT packet_id, {s} AS gseed, {row} AS grow, CAST({half} AS BIGINT) AS {name} FROM d{purpose}"
+        for s in seeds
+        for row, half in enumerate(
+            (f"g{s}_0 >> 32", f"g{s}_0 & {U32}", f"g{s}_1 >> 32", f"g{s}_1 & {U32}")
+        )
+    )
+    return _xx_columns(f"d{purpose}", source, "packet_id", start, (True,)) + f""",
+draws_{purpose} AS ({halves})"""
 
 
 def sampled(p: float, seed: int = 1234) -> str:
-    return f"taken AS (SELECT * FROM upd WHERE {gate(seed)} < {threshold(p)})"
+    return gates((seed,)) + f""",
+taken AS (SELECT upd.* FROM upd JOIN draws_row d ON upd.packet_id = d.packet_id AND r = grow WHERE u < {threshold(p)})"""
 
 
 SAMPLED_CELLS = "cells AS (SELECT r, col, sum(sgn) AS v FROM taken GROUP BY r, col)"
 ORACLES["sampled_cells"] = with_(EV, updates(), sampled(0.25), SAMPLED_CELLS) + CELL_ROWS
+
+def md5_gate(seed: int) -> str:
+    text = f"concat_ws('|', 'row', {seed}, 0, packet_id)"
+    return f"CAST(('0x' || substr(md5({text}), CAST(8 * r + 1 AS BIGINT), 8)) AS BIGINT)"
+
+
+ORACLES["sampled_cells_md5"] = with_(
+    EV, updates(family="md5"), f"taken AS (SELECT * FROM upd WHERE {md5_gate(1234)} < {threshold(0.25)})", SAMPLED_CELLS
+) + CELL_ROWS
 ORACLES["sampled_estimate"] = with_(EV, updates(), sampled(0.25), SAMPLED_CELLS, KEYS, probes("keys", f"{KEY}, n")) + f"""
 SELECT {KEY}, n, CAST(median(CAST(sgn * v AS DOUBLE)) / 0.25 AS DOUBLE) AS est FROM found GROUP BY {KEY}, n"""
 
 
 def _sweep(ps, seeds) -> str:
     grid = ", ".join(f"({p!r}, {threshold(p)}, {s})" for p in ps for s in seeds)
-    draws = " UNION ALL ".join(f"SELECT *, {s} AS seed, {gate(s)} AS u FROM upd" for s in seeds)
     return with_(
         EV,
         updates(),
         f"runs AS (SELECT CAST(c0 AS DOUBLE) AS p, CAST(c1 AS BIGINT) AS t, CAST(c2 AS INTEGER) AS seed FROM (VALUES {grid}) g(c0, c1, c2))",
-        f"drawn AS ({draws})",
+        gates(tuple(seeds)),
+        "drawn AS (SELECT upd.*, gseed AS seed, u FROM upd JOIN draws_row d ON upd.packet_id = d.packet_id AND r = grow)",
         "swept AS (SELECT p, runs.seed, r, col, sum(sgn) AS v FROM drawn JOIN runs ON drawn.seed = runs.seed AND u < t GROUP BY ALL)",
         KEYS,
         f"keyrows AS (SELECT DISTINCT {KEY}, r, col, sgn FROM upd)",
@@ -570,11 +668,16 @@ FROM est JOIN keys USING ({KEY}) GROUP BY p"""
 ORACLES["sampled_run_log"] = _sweep((0.1, 0.5, 1.0), (1234, 2375)) + f"""
 SELECT p, seed, count(*) AS keys, CAST(sum(n) AS BIGINT) AS packets FROM est JOIN keys USING ({KEY}) GROUP BY p, seed"""
 
-SLOTS = f"""blocks AS (SELECT DISTINCT packet_id // 64 AS block FROM flows),
-gaps AS (SELECT block, idx, greatest(CAST(ceil(ln(({md5_word("concat_ws('|', 'gap', 1234, block, idx)")} + 0.5) / 4294967296.0) / ln(0.75)) AS BIGINT), 1) AS gap
-  FROM blocks, range(256) t(idx)),
+SLOTS = (
+    "slotids AS (SELECT block, CAST(idx AS INTEGER) AS idx"
+    " FROM (SELECT DISTINCT packet_id // 64 AS block FROM flows), range(256) t(idx)),\n"
+    + _xx_columns("dgap", "slotids", "block, idx", {"g": _constant(1234, _text("gap"), False)}, (True, False))
+    + """,
+gaps AS (SELECT block, idx, greatest(CAST(ceil(ln((CAST(g >> 32 AS DOUBLE) + 0.5) / 4294967296.0) / ln(0.75)) AS BIGINT), 1) AS gap
+  FROM dgap),
 walk AS (SELECT block, sum(gap) OVER (PARTITION BY block ORDER BY idx) - 1 AS pos FROM gaps),
 slots AS (SELECT CAST(block * 64 + pos // 4 AS BIGINT) AS ordinal, CAST(pos % 4 AS INTEGER) AS "row" FROM walk WHERE pos < 256)"""
+)
 ORACLES["sampled_geometric_slots"] = with_(EV, SLOTS) + "SELECT * FROM slots"
 ORACLES["sampled_geometric"] = with_(EV, updates(), SLOTS,
   'taken AS (SELECT upd.* FROM upd JOIN slots ON packet_id = ordinal AND r = "row")', SAMPLED_CELLS) + CELL_ROWS
@@ -582,15 +685,17 @@ ORACLES["sampled_geometric"] = with_(EV, updates(), SLOTS,
 
 # Layered summaries ---------------------------------------------------------------------
 
-LAYER_HASH = hex_at(f"md5({KEY_TEXT})", 17, 8)
 
-
-def layered_updates(source: str = "flows", layers: int = 16) -> str:
+def layered_updates(source: str = "flows", layers: int = 16, family: str = "xx") -> str:
     deepest = f"""CASE WHEN lh & 4294967294 = 0 THEN {layers - 1}
       ELSE least((SELECT min(i) FROM range(1, 32) t(i) WHERE (lh >> CAST(i AS BIGINT)) & 1 = 1) - 1, {layers - 1}) END"""
-    return f"""lhashed AS (SELECT *, {LAYER_HASH} AS lh FROM {source}),
-placed AS (SELECT *, CAST({deepest} AS INTEGER) AS deepest FROM lhashed),
-{updates('placed')}"""
+    selects = [
+        f"SELECT placed.*, {i} AS r, l{i} & 511 AS col, {sign_of(f'l{i}')} AS sgn FROM placed" for i in range(4)
+    ]
+    return f"""{lanes(source, family)},
+placed AS (SELECT {source}.*, l0, l1, l2, l3, lh, CAST({deepest} AS INTEGER) AS deepest
+  FROM {source} JOIN lanes USING ({KEY})),
+upd AS ({" UNION ALL ".join(selects)})"""
 
 
 LAYER_KEYS = f"keys AS (SELECT {KEY}, lh, deepest, count(*) AS n FROM upd WHERE r = 0 GROUP BY ALL)"
@@ -623,6 +728,7 @@ EV_HEAP = with_(EV, layered_updates(), heaps())
 LI_HEAP = with_(LI, layered_updates(), heaps())
 ORACLES["heavy_hitters"] = EV_HEAP + f"SELECT {HEAP_COLUMNS} FROM heap"
 ORACLES["stream_heavy_hitters"] = ORACLES["heavy_hitters"]
+ORACLES["heavy_hitters_md5"] = with_(EV, layered_updates(family="md5"), heaps()) + f"SELECT {HEAP_COLUMNS} FROM heap"
 ORACLES["heavy_hitters_lineitem"] = LI_HEAP + f"SELECT {HEAP_COLUMNS} FROM heap"
 ORACLES["top_layer_k"] = EV_HEAP + f"""
 SELECT {HEAP_COLUMNS} FROM heap WHERE layer = 1 AND est <> 0 ORDER BY est DESC, {KEY} LIMIT 10"""
@@ -632,8 +738,9 @@ SELECT layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY est DESC, {KEY
 FROM summed QUALIFY rank <= 64"""
 ORACLES["sampled_layered"] = with_(
     EV, layered_updates(), sampled(0.5),
-    f"""refreshed AS (SELECT * FROM upd
-  WHERE {md5_word("concat_ws('|', 'refresh', 1234, 0, packet_id)")} < {threshold(0.5)})""",
+    gates((1234,), purpose="refresh"),
+    f"""refreshed AS (SELECT upd.* FROM upd JOIN draws_refresh d ON upd.packet_id = d.packet_id AND grow = 0
+  WHERE u < {threshold(0.5)})""",
     heaps(scale="0.5", taken="taken", candidates="refreshed"),
 ) + f"SELECT {HEAP_COLUMNS} FROM heap"
 

@@ -20,12 +20,12 @@ from tallyweave.streaming.tables import VersionedTable
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: md5 hashing makes every step restatable in SQL; layers and list size as needed
-#: for counting distinct flows.
+SPEC = SketchSpec()
 MD5 = SketchSpec(family="md5")
 MD5_ROWS = SketchSpec(family="md5_rows")
-LAYERED = SketchSpec(family="md5", layers=16, heap_size=64)
-SAMPLED = SketchSpec(family="md5", p=0.25)
+#: Layers and list size as needed for counting distinct flows.
+LAYERED = SketchSpec(layers=16, heap_size=64)
+SAMPLED = SketchSpec(p=0.25)
 HOUR = 3600
 CPUS = 4
 SLOTS = 64
@@ -225,12 +225,17 @@ def floor_mean(spark, d):
 
 @query
 def cm_cells(spark, d):
+    return cells.build_count_min(ev_counted(spark, d), SPEC)
+
+
+@query
+def cm_cells_md5(spark, d):
     return cells.build_count_min(ev_counted(spark, d), MD5)
 
 
 @query
 def cm_cells_lineitem(spark, d):
-    return cells.build_count_min(li_counted(spark, d), MD5)
+    return cells.build_count_min(li_counted(spark, d), SPEC)
 
 
 def _counted_and_cells(flows: DataFrame, spec: SketchSpec, *, signed: bool) -> tuple[DataFrame, DataFrame]:
@@ -242,15 +247,15 @@ def _counted_and_cells(flows: DataFrame, spec: SketchSpec, *, signed: bool) -> t
 
 @query
 def cm_estimate(spark, d):
-    counts, folded = _counted_and_cells(ev_counted(spark, d), MD5, signed=False)
-    return estimate.estimate_min(counts, folded, MD5)
+    counts, folded = _counted_and_cells(ev_counted(spark, d), SPEC, signed=False)
+    return estimate.estimate_min(counts, folded, SPEC)
 
 
 @query
 def cm_error(spark, d):
-    counts, folded = _counted_and_cells(li_counted(spark, d), MD5, signed=False)
+    counts, folded = _counted_and_cells(li_counted(spark, d), SPEC, signed=False)
     error = F.col("est") - F.col("n")
-    return estimate.estimate_min(counts, folded, MD5).agg(
+    return estimate.estimate_min(counts, folded, SPEC).agg(
         F.count(F.lit(1)).alias("keys"),
         F.sum("n").alias("total"),
         F.min(error).alias("min_error"),
@@ -261,12 +266,12 @@ def cm_error(spark, d):
 
 @query
 def cs_cells(spark, d):
-    return cells.build_count_sketch(ev_counted(spark, d), MD5)
+    return cells.build_count_sketch(ev_counted(spark, d), SPEC)
 
 
 @query
 def cs_cells_lineitem(spark, d):
-    return cells.build_count_sketch(li_counted(spark, d), MD5)
+    return cells.build_count_sketch(li_counted(spark, d), SPEC)
 
 
 @query
@@ -283,19 +288,19 @@ def cs_cells_fasthash(spark, d):
 @query
 def cs_cells_bytes(spark, d):
     """Bytes instead of packets."""
-    return cells.build_count_sketch(ev_counted(spark, d), MD5, weight=F.col("wire_len"))
+    return cells.build_count_sketch(ev_counted(spark, d), SPEC, weight=F.col("wire_len"))
 
 
 @query
 def cs_estimate(spark, d):
-    counts, folded = _counted_and_cells(ev_counted(spark, d), MD5, signed=True)
-    return estimate.estimate_median(counts, folded, MD5)
+    counts, folded = _counted_and_cells(ev_counted(spark, d), SPEC, signed=True)
+    return estimate.estimate_median(counts, folded, SPEC)
 
 
 @query
 def cs_estimate_floor(spark, d):
-    counts, folded = _counted_and_cells(li_counted(spark, d), MD5, signed=True)
-    return estimate.estimate_median(counts, folded, MD5, floor=True)
+    counts, folded = _counted_and_cells(li_counted(spark, d), SPEC, signed=True)
+    return estimate.estimate_median(counts, folded, SPEC, floor=True)
 
 
 @query
@@ -311,42 +316,42 @@ def point_query_text(spark, d):
         F.col("dst_port").cast("string").alias("dst_port"),
     )
     asked = estimate.parse_query_keys(texts)
-    built = cells.build_count_min(ev_counted(spark, d), MD5)
-    return estimate.estimate_min(asked, built, MD5).select("packet_id", "est")
+    built = cells.build_count_min(ev_counted(spark, d), SPEC)
+    return estimate.estimate_min(asked, built, SPEC).select("packet_id", "est")
 
 
 @query
 def sketch_merge(spark, d):
     """Summaries kept per source CPU, then added up."""
-    per_cpu = cells.build_count_sketch(ev_counted(spark, d), MD5, by=("cpu",))
+    per_cpu = cells.build_count_sketch(ev_counted(spark, d), SPEC, by=("cpu",))
     return cells.merge(per_cpu.drop("cpu"))
 
 
 @query
 def sketch_dense(spark, d):
-    dense = cells.to_dense(cells.build_count_min(ev_counted(spark, d), MD5), MD5)
+    dense = cells.to_dense(cells.build_count_min(ev_counted(spark, d), SPEC), SPEC)
     rows = dense.select("layer", F.posexplode("values").alias("row", "values"))
     return rows.select("layer", "row", F.concat_ws(",", F.transform("values", lambda v: v.cast("string"))).alias("cells"))
 
 
 @query
 def sketch_row_arrays(spark, d):
-    per_cpu = cells.build_count_sketch(ev_counted(spark, d), MD5, by=("cpu",))
-    rows = cells.to_row_arrays(per_cpu, MD5, by=("cpu",))
+    per_cpu = cells.build_count_sketch(ev_counted(spark, d), SPEC, by=("cpu",))
+    rows = cells.to_row_arrays(per_cpu, SPEC, by=("cpu",))
     return rows.select("cpu", "row", F.concat_ws(",", F.transform("values", lambda v: v.cast("string"))).alias("cells"))
 
 
 @query
 def sketch_dense_to_long(spark, d):
-    return cells.to_long(cells.to_dense(cells.build_count_sketch(ev_counted(spark, d), MD5), MD5))
+    return cells.to_long(cells.to_dense(cells.build_count_sketch(ev_counted(spark, d), SPEC), SPEC))
 
 
 @query
 def sketch_flat_index(spark, d):
-    built = cells.build_count_min(ev_counted(spark, d), MD5)
-    flat = bits.flat_index(F.col("row"), F.col("col"), MD5.cols)
+    built = cells.build_count_min(ev_counted(spark, d), SPEC)
+    flat = bits.flat_index(F.col("row"), F.col("col"), SPEC.cols)
     return built.select(flat.alias("flat"), "value").select(
-        "flat", bits.row_of(F.col("flat"), MD5.cols).alias("row"), bits.col_of(F.col("flat"), MD5.cols).alias("col"), "value"
+        "flat", bits.row_of(F.col("flat"), SPEC.cols).alias("row"), bits.col_of(F.col("flat"), SPEC.cols).alias("col"), "value"
     )
 
 
@@ -354,7 +359,7 @@ def sketch_flat_index(spark, d):
 def sketch_saved(spark, d):
     """Cells written to the shared folder and probed from there."""
     path = fresh_path(spark, "cells")
-    stores.write_cells(cells.build_count_min(ev_counted(spark, d), MD5), path)
+    stores.write_cells(cells.build_count_min(ev_counted(spark, d), SPEC), path)
     return stores.read_cells(spark, path)
 
 
@@ -432,6 +437,11 @@ def sampled_cells(spark, d):
     return sampling.build_sampled(ev_counted(spark, d), SAMPLED, "packet_id")
 
 
+@query
+def sampled_cells_md5(spark, d):
+    return sampling.build_sampled(ev_counted(spark, d), SAMPLED.with_(family="md5"), "packet_id")
+
+
 @query
 def sampled_estimate(spark, d):
     counts = sampling.count_sampled_keys(ev_counted(spark, d), SAMPLED, "packet_id")
@@ -441,7 +451,7 @@ def sampled_estimate(spark, d):
 
 @query
 def sampled_sweep(spark, d):
-    found = sweep.sweep_estimates(ev_counted(spark, d), MD5, "packet_id")
+    found = sweep.sweep_estimates(ev_counted(spark, d), SPEC, "packet_id")
     errors = sweep.sweep_error(found)
     return errors.select(
         "p", F.round("mean_abs_error", 6).alias("mean_abs_error"), F.round("mean_error", 6).alias("mean_error"), "estimates"
@@ -451,7 +461,7 @@ def sampled_sweep(spark, d):
 @query
 def sampled_run_log(spark, d):
     """Sweep results appended to a CSV log by probability, and read back."""
-    found = sweep.sweep_estimates(ev_counted(spark, d), MD5, "packet_id", ps=(0.1, 0.5, 1.0), seeds=(1234, 2375))
+    found = sweep.sweep_estimates(ev_counted(spark, d), SPEC, "packet_id", ps=(0.1, 0.5, 1.0), seeds=(1234, 2375))
     runs = found.groupBy("p", "seed").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("packets"))
     path = fresh_path(spark, "runs")
     stores.append_run_log(runs, path)
@@ -498,6 +508,11 @@ def heavy_hitters(spark, d):
     return _heap(spark, d)
 
 
+@query
+def heavy_hitters_md5(spark, d):
+    return layered.summarize(ev_counted(spark, d), LAYERED.with_(family="md5"))
+
+
 @query
 def heavy_hitters_lineitem(spark, d):
     return layered.summarize(li_counted(spark, d), LAYERED)
@@ -627,7 +642,7 @@ def _event_stream(spark, d) -> DataFrame:
 @query
 def stream_cells(spark, d):
     table = VersionedTable(spark, fresh_path(spark, "stream-cells"))
-    run = summaries.start_cells(_event_stream(spark, d), MD5, table, fresh_path(spark, "checkpoint"))
+    run = summaries.start_cells(_event_stream(spark, d), SPEC, table, fresh_path(spark, "checkpoint"))
     run.awaitTermination()
     return table.latest()
 
@@ -636,7 +651,7 @@ def stream_cells(spark, d):
 def stream_windowed_cells(spark, d):
     path = fresh_path(spark, "stream-windows")
     run = summaries.start_windowed_cells(
-        _event_stream(spark, d), MD5, path, fresh_path(spark, "checkpoint"), window="1 day", delay="1 hour"
+        _event_stream(spark, d), SPEC, path, fresh_path(spark, "checkpoint"), window="1 day", delay="1 hour"
     )
     run.awaitTermination()
     stored = summaries.read_updates(spark, path, ["window", *cells.CELL])
