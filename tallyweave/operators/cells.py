@@ -173,7 +173,7 @@ def to_dense(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> D
     """
     zero = F.lit(0).cast("bigint")
     sparse = number_cells(cells, spec, by).groupBy(*by).agg(F.collect_list(F.struct("cell", "value")).alias("_s"))
-    sparse = sparse.withColumn("_s", F.array_sort("_s"))
+    sparse = sparse.withColumn("_s", F.sort_array("_s"))
 
     def filled(entry: Column, i: Column) -> Column:
         before = F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(F.get(F.col("_s"), i - 1)["cell"])

@@ -60,7 +60,7 @@ def fold_minimum(spec: SketchSpec) -> Column:
 
 def fold_median(spec: SketchSpec) -> Column:
     """Median of the signed cells as a double."""
-    return numeric.median(
+    return numeric.integer_median(
         [bits.sign(F.col(h), spec.sign_bit) * F.col(f"_v{r}") for r, h in enumerate(hash_columns(spec))]
     )
 

@@ -139,7 +139,7 @@ def peak_rate(deltas: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) ->
     sample = F.struct("ts", "delta")
     chunks = (
         deltas.groupBy(*by, _chunk(F.col("ts"), seconds).alias("_chunk"))
-        .agg(F.array_sort(F.collect_list(sample)).alias("_s"))
+        .agg(F.sort_array(F.collect_list(sample)).alias("_s"))
         .select(
             *by,
             F.slice("_s", 1, 2).alias("_head"),
@@ -148,7 +148,7 @@ def peak_rate(deltas: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) ->
         )
     )
     whole = chunks.groupBy(*by).agg(
-        F.array_sort(F.flatten(F.collect_list("_head"))).alias("_heads"),
+        F.sort_array(F.flatten(F.collect_list("_head"))).alias("_heads"),
         F.max("_rest").alias("_rest"),
         F.sum("_n").alias("_n"),
     )

@@ -26,47 +26,53 @@ SWEEP_P = (0.01, *[round(0.05 * i, 2) for i in range(1, 20)], 1.0)
 SWEEP_SEEDS = (1234, 2375, 3522, 23738, 1918)
 
 
-def _first_admitting(draw: Column, ps: Sequence[float], low: int = 0) -> Column:
-    """Number of the smallest probability whose gate a draw passes, by halving the sorted list."""
-    if not ps:
-        return F.lit(low)
-    middle = len(ps) // 2
-    passes = draw < F.lit(numeric.threshold_u32(ps[middle]))
-    return F.when(passes, _first_admitting(draw, ps[:middle], low)).otherwise(
-        _first_admitting(draw, ps[middle + 1 :], low + middle + 1)
-    )
+def _array(values: Sequence[str]) -> Column:
+    """A literal array, parsed at once instead of built from single literals."""
+    return F.expr(f"array({', '.join(values)})")
+
+
+def _first_admitting(draw: str, ps: Sequence[float]) -> Column:
+    """Number of the smallest probability whose gate a draw passes; ``len(ps)`` for none.
+
+    That is the number of thresholds up to the draw.
+    """
+    passed = (f"CAST({draw} >= {numeric.threshold_u32(p)}L AS INT)" for p in ps)
+    return F.expr(" + ".join(passed))
 
 
 def sweep_cells(
     packets: DataFrame, spec: SketchSpec, packet_id: str, ps: Sequence[float], seeds: Sequence[int]
 ) -> DataFrame:
-    """Cells ``(s, q, cell, value)`` for seed number ``s`` and probability number ``q``."""
+    """Cells ``(cell, value)`` of all runs, numbered one run after the other.
+
+    Run ``seed number * len(ps) + probability number`` owns ``spec.layer_size`` cells.
+    The number is the only grouping key: one long key aggregates far faster than
+    seed, probability and cell apart.
+    """
     ps = sorted(ps)
     hashed = with_hashes(packets.select(packet_id, *spec.keys), spec)
-    numbered_seeds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("v")) for i, s in enumerate(seeds)])
+    numbered_seeds = _array([f"named_struct('i', {i}, 'v', {seed})" for i, seed in enumerate(seeds)])
     runs = hashed.withColumn("_run", F.explode(numbered_seeds))
     draws = gate_draws(spec, packet_id, seed=F.col("_run.v"))
     drawn = runs.withColumns({f"_d{row}": draw for row, draw in enumerate(draws)})
-    updates = [
-        value
-        for row, h in enumerate(hash_columns(spec))
-        for value in (
-            _first_admitting(F.col(f"_d{row}"), ps),
-            cell_id(F.lit(0), row, F.col(h), spec),
-            sign(F.col(h), spec.sign_bit),
-        )
-    ]
+    updates = []
+    for row, h in enumerate(hash_columns(spec)):
+        first = _first_admitting(f"_d{row}", ps)
+        run = F.col("_run.i") * len(ps) + first
+        updates += [first, cell_id(run, row, F.col(h), spec), sign(F.col(h), spec.sign_bit)]
     admitted = (
-        drawn.select(F.col("_run.i").alias("s"), F.stack(F.lit(spec.rows), *updates).alias("_first", "cell", "_sign"))
+        drawn.select(F.stack(F.lit(spec.rows), *updates).alias("_first", "cell", "value"))
         .filter(F.col("_first") < len(ps))
-        .groupBy("s", "_first", "cell")
-        .agg(F.sum("_sign").alias("value"))
+        .groupBy("cell")
+        .agg(F.sum("value").alias("value"))
     )
+    # A cell also counts for every larger probability of its seed.
+    cell, step = F.col("cell"), F.lit(spec.layer_size).cast("bigint")
+    span = step * len(ps)
+    last = cell - F.pmod(cell, span) + F.pmod(cell, step) + step * (len(ps) - 1)
     return (
-        admitted.select(
-            "s", F.explode(F.sequence(F.col("_first"), F.lit(len(ps) - 1))).alias("q"), "cell", "value"
-        )
-        .groupBy("s", "q", "cell")
+        admitted.select(F.explode(F.sequence(cell, last, step)).alias("cell"), "value")
+        .groupBy("cell")
         .agg(F.sum("value").alias("value"))
     )
 
@@ -81,17 +87,14 @@ def sweep_estimates(
     """Estimate and true count of every key for every (p, seed)."""
     ps = sorted(ps)
     cells = sweep_cells(packets, spec, packet_id, ps, seeds)
-    numbered = cells.select(
-        ((F.col("s") * len(ps) + F.col("q")) * spec.layer_size + F.col("cell")).alias("_cell"), "value"
-    )
     bounded = len(ps) * len(seeds) * spec.layer_size <= BROADCAST_CELLS
 
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).cast("double").alias("p"), F.lit(seed).alias("seed"))
-                     for i, (seed, p) in enumerate((seed, p) for seed in seeds for p in ps)])
+    runs = [(seed, p) for seed in seeds for p in ps]
+    grid = _array([f"named_struct('i', {i}, 'p', {p!r}D, 'seed', {seed})" for i, (seed, p) in enumerate(runs)])
     probes = with_hashes(count_keys(packets, spec), spec).withColumn("_run", F.explode(grid))
     for row, h in enumerate(hash_columns(spec)):
-        at = F.col("_run.i") * spec.layer_size + cell_id(F.lit(0), row, F.col(h), spec)
-        side = numbered.select("_cell", F.col("value").alias(f"_v{row}"))
+        at = cell_id(F.col("_run.i"), row, F.col(h), spec)
+        side = cells.select(F.col("cell").alias("_cell"), F.col("value").alias(f"_v{row}"))
         probes = probes.join(F.broadcast(side) if bounded else side, at == F.col("_cell"), "left").drop("_cell")
     values = [
         sign(F.col(h), spec.sign_bit) * F.coalesce(F.col(f"_v{row}"), F.lit(0))
@@ -99,7 +102,7 @@ def sweep_estimates(
     ]
     return probes.select(
         *spec.keys, F.col("_run.p").alias("p"), F.col("_run.seed").alias("seed"), "n",
-        (numeric.median(values) / F.col("_run.p")).alias("est"),
+        (numeric.integer_median(values) / F.col("_run.p")).alias("est"),
     )
 
 

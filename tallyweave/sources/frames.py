@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,37 +22,47 @@ def stream_packets(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(S.PACKET).parquet(path)
 
 
-def _number(hex_frame: Column, offset: Column | int, size: int) -> Column:
-    """Big-endian unsigned field at a byte offset of a hex frame; null beyond its end."""
+#: No header field lies beyond this byte of a frame.
+HEADERS = ETHERNET + VLAN_TAG * MAX_TAGS + IPV4 + TCP
+
+
+def _number(hex_headers: Column, offset: Column | int, size: int) -> Column:
+    """Big-endian unsigned number of up to 7 bytes at a byte offset."""
     start = (F.lit(offset) if isinstance(offset, int) else offset) * 2 + 1
-    digits = F.substr(hex_frame, start, F.lit(size * 2))
-    return F.when(F.length(digits) == size * 2, F.conv(digits, 16, 10).cast("bigint"))
+    return F.conv(F.substr(hex_headers, start, F.lit(size * 2)), 16, 10).cast("bigint")
 
 
 def decode_frames(packets: DataFrame, frame: str = "frame") -> DataFrame:
     """Replace a ``frame`` column by the flow columns and a verdict.
 
     Up to two VLAN tags are stripped. A frame that is not IPv4 passes; one that
-    is too short or carries neither TCP nor UDP is an error.
+    is too short or carries neither TCP nor UDP is an error. Headers are read from
+    zero-padded hex; lengths decide which of them the frame really has.
     """
-    length = F.length(F.col(frame))
-    staged = packets.withColumns({"_hex": F.hex(F.col(frame)), "_len": length})
-    hex_frame, size = F.col("_hex"), F.col("_len")
-    types = {f"_t{d}": _number(hex_frame, 12 + VLAN_TAG * d, 2) for d in range(MAX_TAGS + 1)}
-    staged = staged.withColumns(types)
+    headers = F.rpad(F.hex(F.substring(F.col(frame), 1, HEADERS)), HEADERS * 2, "0")
+    staged = packets.withColumns({"_hex": headers, "_len": F.length(F.col(frame))})
+    hex_headers, size = F.col("_hex"), F.col("_len")
+    # The EtherType, and the next one after a tag, are read together.
+    staged = staged.withColumns({"_t01": _number(hex_headers, 12, 6), "_t2": _number(hex_headers, 20, 2)})
+    types = [F.shiftright("_t01", 32), F.col("_t01").bitwiseAND(F.lit(0xFFFF)), F.col("_t2")]
 
-    tagged = [F.coalesce(F.col(f"_t{d}").isin(*S.ETHERTYPE_VLANS), F.lit(False)) for d in range(MAX_TAGS)]
-    nested = [reduce(lambda a, b: a & b, tagged[: d + 1]) for d in range(MAX_TAGS)]
-    depth = reduce(lambda a, b: a + b, [n.cast("int") for n in nested])
-    staged = staged.withColumn("vlan_depth", depth)
+    one = (size >= ETHERNET) & types[0].isin(*S.ETHERTYPE_VLANS)
+    two = one & (size >= ETHERNET + VLAN_TAG) & types[1].isin(*S.ETHERTYPE_VLANS)
+    staged = staged.withColumn("vlan_depth", F.when(two, 2).when(one, 1).otherwise(0))
 
     depth = F.col("vlan_depth")
-    ether_type = F.when(depth == 0, F.col("_t0")).when(depth == 1, F.col("_t1")).otherwise(F.col("_t2"))
-    staged = staged.withColumns({"ether_type": ether_type.cast("int"), "_ip": ETHERNET + VLAN_TAG * depth})
-
+    ether_type = F.when(depth == 0, types[0]).when(depth == 1, types[1]).otherwise(types[2])
     ip = F.col("_ip")
-    staged = staged.withColumn("proto", _number(hex_frame, ip + 9, 1).cast("int"))
-    proto = F.col("proto")
+    staged = staged.withColumns({"ether_type": ether_type.cast("int"), "_ip": ETHERNET + VLAN_TAG * depth})
+    staged = staged.withColumns(
+        {
+            "proto": _number(hex_headers, ip + 9, 1).cast("int"),
+            # Both addresses and both ports as two numbers of six bytes.
+            "_w0": _number(hex_headers, ip + 12, 6),
+            "_w1": _number(hex_headers, ip + 18, 6),
+        }
+    )
+    proto, w0, w1 = F.col("proto"), F.col("_w0"), F.col("_w1")
     transport = F.when(proto == S.PROTO_TCP, TCP).when(proto == S.PROTO_UDP, UDP)
     verdict = (
         F.when(size < ip, S.ERROR_DROP)
@@ -68,10 +76,10 @@ def decode_frames(packets: DataFrame, frame: str = "frame") -> DataFrame:
 
     ok = F.col("verdict") == S.COUNTED
     fields = {
-        "src_ip": _number(hex_frame, ip + 12, 4),
-        "dst_ip": _number(hex_frame, ip + 16, 4),
-        "src_port": _number(hex_frame, ip + 20, 2).cast("int"),
-        "dst_port": _number(hex_frame, ip + 22, 2).cast("int"),
+        "src_ip": F.shiftright(w0, 16),
+        "dst_ip": F.shiftleft(w0.bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(F.shiftright(w1, 32)),
+        "src_port": F.shiftright(w1, 16).bitwiseAND(F.lit(0xFFFF)).cast("int"),
+        "dst_port": w1.bitwiseAND(F.lit(0xFFFF)).cast("int"),
         "proto": proto,
     }
     staged = staged.withColumns({name: F.when(ok, value) for name, value in fields.items()})
@@ -82,7 +90,7 @@ def decode_frames(packets: DataFrame, frame: str = "frame") -> DataFrame:
             "dst_mac": F.substring(F.col(frame), 1, 6),
             "src_mac": F.substring(F.col(frame), 7, 6),
         }
-    ).drop(frame, "_hex", "_len", "_ip", *types)
+    ).drop(frame, "_hex", "_len", "_ip", "_t01", "_t2", "_w0", "_w1")
 
 
 def encode_frames(
