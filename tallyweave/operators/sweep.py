@@ -57,12 +57,15 @@ def sweep_cells(
     drawn = runs.withColumns({f"_d{row}": draw for row, draw in enumerate(draws)})
     updates = []
     for row, h in enumerate(hash_columns(spec)):
-        first = _first_admitting(f"_d{row}", ps)
-        run = F.col("_run.i") * len(ps) + first
-        updates += [first, cell_id(run, row, F.col(h), spec), sign(F.col(h), spec.sign_bit)]
+        cell = cell_id(F.col("_run.i") * len(ps), row, F.col(h), spec)
+        updates += [F.col(f"_d{row}"), cell, sign(F.col(h), spec.sign_bit)]
+    # The thresholds are compared after the generator, once in the generated code and
+    # not once per row: a method that grows too long is not compiled.
+    slots = drawn.select(F.stack(F.lit(spec.rows), *updates).alias("_draw", "cell", "value"))
     admitted = (
-        drawn.select(F.stack(F.lit(spec.rows), *updates).alias("_first", "cell", "value"))
+        slots.withColumn("_first", _first_admitting("_draw", ps))
         .filter(F.col("_first") < len(ps))
+        .select((F.col("cell") + F.col("_first") * spec.layer_size).alias("cell"), "value")
         .groupBy("cell")
         .agg(F.sum("value").alias("value"))
     )
