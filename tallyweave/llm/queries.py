@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import hostrules, linededup, mixing, packing
+from tallyweave.llm import fingerprint, hostrules, linededup, mixing, packing
 from tallyweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op9_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     found = mixing.mix_sources(table(spark, directory, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return fingerprint.fingerprint_neighbours(table(spark, directory, "documents"))
