@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprint, hostrules, linededup, mixing, packing
+from tallyweave.llm import fingerprint, hostrules, language, linededup, mixing, packing, quality
 from tallyweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,18 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op8_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(table(spark, directory, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, directory: str) -> DataFrame:
+    held_out = quality.remainder(5) == 0
+    found = quality.classify(table(spark, directory, "documents"), table(spark, directory, "labels"), held_out)
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op5_language(spark: SparkSession, directory: str) -> DataFrame:
+    held_out = quality.remainder(3) == 1
+    docs = table(spark, directory, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.fit(docs, held_out))
+    return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
