@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprint, hostrules, language, linededup, mixing, packing, quality
+from tallyweave.llm import fingerprint, hostrules, language, linededup, mixing, packing, quality, wrappers
 from tallyweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op5_language(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs, language.fit(docs, held_out))
     return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op1_html_wrappers(spark: SparkSession, directory: str) -> DataFrame:
+    return wrappers.main_text(table(spark, directory, "pages"))
