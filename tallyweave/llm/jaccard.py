@@ -478,3 +478,19 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
     groups = components(links(docs, sets, join)).select(F.col("id").alias("c_id"), "component")
     found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(groups, F.col("doc_id") == F.col("c_id"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id. Of rows with one id one stays; rows without an
+    id all stay."""
+    found = stored(near_copies(docs, join), "near-copies")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
+    kept = docs.join(_marked(gone, gone.count(), join), F.col("doc_id") == F.col("g_id"), "left_anti")
+    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("g_id")).count().where("count > 1")
+    again = stored(again.select("g_id"), "again")
+    n = again.count()
+    if not n:
+        return kept
+    met = F.col("doc_id") == F.col("g_id")
+    single = kept.join(_marked(again, n, join), met, "left_anti")
+    return single.unionByName(kept.join(_marked(again, n, join), met, "left_semi").dropDuplicates(["doc_id"]))

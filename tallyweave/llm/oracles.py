@@ -99,3 +99,64 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source
 LEFT JOIN (SELECT * FROM e WHERE n = 1) e ON d.source IS NOT DISTINCT FROM e.source
 """
+
+
+def _licences() -> str:
+    """The known texts are the data of the query; how they are made canonical is written anew in SQL."""
+    from tallyweave.llm.known_licences import NOTICES, TEXTS
+
+    def rows(known: tuple) -> str:
+        return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in known)
+
+    steps = (
+        ("licence", "license"), ("licencing", "licensing"), ("organisation", "organization"),
+        ("merchantibility", "merchantability"), ("authorisation", "authorization"), ("authorised", "authorized"),
+        ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), ("per cent", "percent"),
+        ("sub license", "sublicense"), ("https", "http"),
+    )
+    spaced = (
+        r"regexp_replace(lower(coalesce(body, '')), "
+        r"'[\x00-\x09\x0B-\x20!-/:-@\[-`{-\x7F\x{a0}\x{a9}\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2026}]+', ' ', 'g')"
+    )
+    for a, b in steps:
+        spaced = f"replace({spaced}, '{a}', '{b}')"
+    left_out = r"^(copyright( c)? |c )[0-9]{4}|^copyright( c)? (by )?(the )?[^ ]*( authors| holders)?$|^all rights reserved$"
+    lines = (
+        f"list_filter(list_transform(string_split({spaced}, chr(10)), lambda l: trim(l, ' ')), "
+        f"lambda l: l <> '' AND NOT regexp_matches(l, '{left_out}'))"
+    )
+    return f"""
+WITH n AS (SELECT * FROM (VALUES {rows(NOTICES)}) AS v(license, body)),
+t AS (SELECT * FROM (VALUES {rows(TEXTS)}) AS v(license, body) UNION ALL SELECT * FROM n),
+nl AS (SELECT license, array_to_string({lines}, ' ') AS line FROM n),
+tl AS (SELECT license, sha256(array_to_string({lines}, ' ')) AS known FROM t),
+d AS (SELECT doc_id, {lines} AS ls FROM (SELECT doc_id, text AS body FROM documents)),
+f AS (SELECT doc_id, list(DISTINCT nl.license ORDER BY nl.license) AS names
+      FROM (SELECT doc_id, unnest(ls) AS line FROM d) l JOIN nl ON l.line = nl.line GROUP BY doc_id)
+SELECT d.doc_id, sha256(array_to_string(ls, ' ')) AS digest, tl.license, coalesce(array_to_string(f.names, ','), '') AS notices,
+       CAST(coalesce(len(f.names), 0) AS BIGINT) AS n_notices
+FROM d LEFT JOIN tl ON sha256(array_to_string(ls, ' ')) = tl.known LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
+ORACLES["op2_licences"] = _licences()
+
+ORACLES["op4_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS set_
+  FROM d
+),
+n AS (SELECT doc_id, CAST(len(set_) AS BIGINT) AS n FROM s),
+u AS (SELECT doc_id, unnest(set_) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT min(reach) FROM r WHERE r.id = n.doc_id) AS component_id FROM n
+"""

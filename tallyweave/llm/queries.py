@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprint, hostrules, jaccard, language, linededup, mixing, packing, quality, wrappers
+from tallyweave.llm import fingerprint, hostrules, jaccard, language, licences, linededup, mixing, packing, quality, wrappers
 from tallyweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,8 @@ def op1_html_wrappers(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op4_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard.near_copies(table(spark, directory, "documents"))
+
+
+@query
+def op2_licences(spark: SparkSession, directory: str) -> DataFrame:
+    return licences.scan(table(spark, directory, "documents"))
