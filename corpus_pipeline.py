@@ -8,18 +8,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import linededup, mixing, packing
+from tallyweave.llm import jaccard, linededup, mixing, packing, quality
 from tallyweave.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Least score of a document that stays.
+LEAST_QUALITY = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.trained(docs, labels, quality.remainder(5) == 0)
+    return quality.with_score(docs, model, "_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in three documents or more stay in one of them."""
     return linededup.deduplicate(docs)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in proportion to their weights: documents repeated, and some cut, to meet the targets."""
     return mixing.mixed_documents(docs)
@@ -31,7 +48,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
     ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each),
     ("mixing", mix),
     ("packing", pack),
 ]
