@@ -44,7 +44,7 @@ class Join:
     """width: words of a shingle; percent: least similarity. hot_docs: documents from which a shingle is frequent;
     most_hot bounds how many frequent shingles are told apart (the threshold is raised to it, which costs time, not links);
     small: rows of a group up to which bitmaps are not sent along; side: rows of a side of a tile;
-    broadcast_rows: tables of ids or shingles up to which they are broadcast instead of shuffled."""
+    broadcast_rows: tables of ids up to which they are broadcast instead of shuffled."""
 
     width: int = 5
     percent: int = 80
@@ -329,7 +329,13 @@ def small_group_pairs(rows: DataFrame, join: Join, kind: str) -> DataFrame:
                 right.append(j[ok])
             i = np.concatenate(left) if left else np.zeros(0, int)
             j = np.concatenate(right) if right else np.zeros(0, int)
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
+            # Two documents often share many tokens; those of a center come together.
+            found = pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))}).group_by(["a", "b"]).aggregate([])
+            columns = [found[k].combine_chunks() for k in ("a", "b")]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in columns]
+            if not len(found):
+                columns = [ids.slice(0, 0)] * 2
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -337,15 +343,17 @@ def small_group_pairs(rows: DataFrame, join: Join, kind: str) -> DataFrame:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
             token = np.asarray(t["token"])
-            cut = int(np.searchsorted(token, token[-1]))  # the last group may go on
+            last = np.flatnonzero(token != token[-1])  # the last group may go on
+            cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield pairs(t.slice(0, cut))
             rest = t.slice(cut)
         if rest is not None:
             yield pairs(rest)
 
-    cols = rows.select("token", "doc_id", "n", "place", "component")
-    found = cols.repartition("token").sortWithinPartitions("token").mapInArrow(run, f"a {kind}, b {kind}")
+    cols = rows.select("token", "doc_id", "n", "place", "component", "center")
+    sorted_ = cols.repartition("center").sortWithinPartitions("center", "token").drop("center")
+    found = sorted_.mapInArrow(run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -371,7 +379,7 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
     def joined(side: DataFrame, key: str) -> DataFrame:
         return side.join(blocks, (F.col("token") == F.col("t")) & (F.col(key) == F.col("band_all"))).drop("t", "band_all")
 
-    cols = ["token", "doc_id", "n", "place", "component", "bitmap"]
+    cols = ["token", "center", "doc_id", "n", "place", "component", "bitmap"]
     looking = joined(rows.where("apart").withColumn("over", near), "over").select(
         *cols, F.lit(1).alias("looks"), F.col("band").alias("from"), "over", F.col("blocks").alias("copies"),
     )
@@ -390,11 +398,14 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
         F.explode(F.sequence(F.lit(0), F.col("own_outer") - 1)).alias("i"),
         F.pmod(hashed, F.col("blocks")).cast("int").alias("j"),
     )
-    key = ["token", "from", "over", "i", "j"]
-    tiles = looking.select(*key, *cols[1:], "looks").union(seen.select(*key, *cols[1:], "looks"))
+    # Groups of one center have much the same rows, so their tiles go together and a pair leaves them once.
+    tile_key = ["center", "from", "over", "i", "j"]
+    key = [*tile_key, "token"]
+    tiles = looking.select(*key, *cols[2:], "looks").union(seen.select(*key, *cols[2:], "looks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+        at: dict = {}  # the tile of a center, and the pairs sent from it
 
         def tile(t: pa.Table) -> pa.RecordBatch:
             looks = np.asarray(t["looks"]) == 1
@@ -419,11 +430,18 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
             i = np.concatenate(left) if left else np.zeros(0, int)
             j = np.concatenate(right) if right else np.zeros(0, int)
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
+            now = tuple(t[k][0].as_py() for k in tile_key)
+            if now != at.get("tile"):
+                at["tile"], at["sent"] = now, set()
+            new = set(zip(ids.take(pa.array(i)).to_pylist(), ids.take(pa.array(j)).to_pylist())) - at["sent"]
+            at["sent"] |= new
+            found = list(new)
+            columns = [pa.array([p[k] for p in found], t.schema.field("doc_id").type) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         def same_tile(t: pa.Table) -> np.ndarray:
-            keys = np.stack([np.asarray(t[k]).astype(np.int64) for k in key])
-            return np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            keys = [np.asarray(t[k]) for k in key]
+            return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
 
         for batch in batches:
             if not batch.num_rows:
@@ -437,7 +455,7 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
         if rest is not None:
             yield tile(rest)
 
-    found = tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, f"a {kind}, b {kind}")
+    found = tiles.repartition(*tile_key).sortWithinPartitions(*key).mapInArrow(run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -445,28 +463,32 @@ def links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) that connect every two documents which links of all pairs connect."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = sets.where("doc_id is not null").select("doc_id", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("center"))
-    shared = stored(shared.where("members > 1"), "shared").withColumnRenamed("token", "s_token")
-    cells = tokens.join(_marked(shared, shared.count(), join), F.col("token") == F.col("s_token")).drop("s_token")
-    cells = stored(cells, "cells")
-
-    star = cells.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "n", "place")).alias("center"))
+    shared = shared.where("members > 1").withColumnRenamed("token", "s_token")
+    cells = stored(tokens.join(shared, F.col("token") == F.col("s_token")).drop("s_token"), "cells")
+
+    # The bounds of _fits.
+    n, m = F.col("n"), F.col("center.n")
+    most = F.least(n - F.col("place"), m - F.col("center.place"))
+    fits = (100 * F.least(n, m) >= join.percent * F.greatest(n, m)) & (100 * most >= join.percent * (n + m - most))
+    star = cells.where((F.col("doc_id") != F.col("center.doc_id")) & fits)
+    star = stored(star.select(F.col("center.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     first = verified(star, sets, docs, join)
-    labels = components(first).select(F.col("id").alias("l_id"), "component")
-    placed = cells.join(labels, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    placed = stored(placed, "placed")
+    labels = stored(components(first).select(F.col("id").alias("l_id"), "component"), "first-labels")
+    # In a group of two all is said.
+    placed = cells.where("members > 2").withColumn("center", F.col("center.doc_id"))
+    placed = placed.join(_marked(labels, labels.count(), join), F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
+    placed = stored(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
     several = placed.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.max(F.when(F.col("doc_id") == F.col("center"), F.col("component"))).alias("center_component"),
     )
-    several = stored(several.where("low <> high").select(F.col("token").alias("s_token"), "center_component"), "several")
-    rest = placed.join(_marked(several, several.count(), join), F.col("token") == F.col("s_token")).drop("s_token")
-    rest = stored(rest, "unsettled")
+    several = several.where("low <> high").select(F.col("token").alias("s_token"), "center_component")
+    rest = stored(placed.join(several, F.col("token") == F.col("s_token")).drop("s_token"), "unsettled")
     pairs = small_group_pairs(rest.where(F.col("members") <= join.small), join, kind)
     pairs = pairs.union(tile_pairs(rest.where(F.col("members") > join.small), sets, join, kind)).where("a <> b").distinct()
     # The star's pairs are settled.
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
+    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
     return first.union(verified(pairs, sets, docs, join))
 
 
