@@ -33,9 +33,9 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
+def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has few rows (a number the caller has counted), else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= limit else df
 
 
 def id_text(column: str | Column) -> Column:

@@ -7,8 +7,8 @@ A linear hinge-loss model is fitted to the scaled vectors by dual coordinate des
 ``sample_rows`` training documents chosen by a hash; a part of these is kept aside to turn margins into
 probabilities.
 
-Texts are read once: their features are stored, and training and scoring start from there. Labels are joined
-to features by id; neither is broadcast.
+Texts are read once: their features are stored, and training and scoring start from there. Labels, an id and a number
+each, are broadcast to the features up to ``LABELS`` of them; beyond that both are shuffled by id.
 
 Defined cases: a null text is an empty one and gets the score of a text without features; labels that are null, or that
 differ for one id, are left out (equal ones count once); rows with one id are scored each by its own text; without
@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import textcols
-from tallyweave.llm.frames import id_text, map_arrow
+from tallyweave.llm.frames import bounded, id_text, map_arrow
 from tallyweave.session import stored
 
 BITS = 18
 DIMENSIONS = 1 << BITS
+#: Labels up to which they are broadcast.
+LABELS = 500_000
 
 
 @dataclass(frozen=True)
@@ -251,8 +253,9 @@ def known_labels(labels: DataFrame, name: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, training: Training = Training()) -> DataFrame:
     """doc_id, held_out and score of every document. ``held_out``: a condition on doc_id, of rows never learned from."""
     rows = stored(featured(docs), "features")
-    train = rows.where(~held_out).join(known_labels(labels, "quality"), F.col("doc_id") == F.col("l_id"))
-    model = fit(stored(train.select("doc_id", "quality", "features"), "training"), training)
+    wanted = known_labels(labels, "quality")
+    train = rows.where(~held_out).join(bounded(wanted, wanted.count(), LABELS), F.col("doc_id") == F.col("l_id"))
+    model = fit(train.select("doc_id", "quality", "features"), training)
     return scored(rows, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score")
 
 
@@ -270,9 +273,12 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, held_out: Column, training: Training = Training()) -> Model:
     """The model alone, from the labelled documents."""
-    rows = docs.where(~held_out).select("doc_id", "text")
     wanted = known_labels(labels, "quality")
-    train = featured(rows).join(wanted, F.col("doc_id") == F.col("l_id"))
+    n = wanted.count()
+    rows = docs.where(~held_out).select("doc_id", "text")
+    if n <= LABELS:
+        rows = rows.join(F.broadcast(wanted.select("l_id")), F.col("doc_id") == F.col("l_id"), "left_semi")
+    train = featured(rows).join(bounded(wanted, n, LABELS), F.col("doc_id") == F.col("l_id"))
     return fit(stored(train.select("doc_id", "quality", "features"), "training"), training)
 
 
