@@ -65,7 +65,7 @@ class Join:
 #: Of eight equal parts of the hash space, so many are counted to find frequent shingles.
 COUNTED, EIGHTHS = 3, 8
 #: Text whose shingles are counted together before they are sent.
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 4 << 20
 EMPTY = np.zeros(0, np.uint64)
 
 

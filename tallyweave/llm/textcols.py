@@ -16,7 +16,7 @@ U64 = np.uint64
 #: Odd, so that its powers can be inverted modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text handled at a time; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, dtype=bool)
