@@ -34,7 +34,7 @@ from tallyweave.session import stored
 #: Ranks of a length are counted in so many parts.
 SALTS = 64
 #: Ids of so many different words are kept per worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: A text is encoded in stretches of about so many characters.
 STRETCH = 1 << 20
 
