@@ -93,13 +93,14 @@ def count_keys(
     """Exact row count ``n`` per key; hot keys are folded before the shuffle.
 
     The table is usually read twice, for cells and for candidates. The condition at
-    the end always holds; it keeps all counters in use by every reader, so that
-    their plans agree and Spark shuffles the counts once and reuses the exchange.
+    the end always holds, as n is never 0, whatever ``extra`` comes to; it keeps all counters in
+    use by every reader, so that their plans agree and Spark shuffles the counts once and
+    reuses the exchange.
     """
     extra = extra or {}
     aggregates = [F.count(F.lit(1)).alias("n"), *[agg.alias(name) for name, agg in extra.items()]]
     counted = flows.groupBy(*by, *spec.keys).agg(*aggregates)
-    return counted.filter(reduce(lambda a, b: a + b, [F.col(c) for c in ("n", *extra)]) > 0)
+    return counted.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in extra], F.col("n") > 0))
 
 
 def build(

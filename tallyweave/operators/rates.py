@@ -62,13 +62,21 @@ def per_interval(
     return fill_intervals(stored(counted, "intervals"), seconds, by=by) if fill else counted
 
 
+#: Slots of a hole that one row spreads out at a time.
+HOLE_SLOTS = 4096
+
+
 def fill_intervals(intervals: DataFrame, seconds: int = 1, *, by: Sequence[str] = ()) -> DataFrame:
     """Each row also fills the hole up to its successor with zero rows."""
     step = F.expr(f"interval {seconds} seconds")
     values = [c for c in intervals.columns if c in ("packets", "bytes")]
     following = ordered.neighbour(intervals, by, "ts", _chunk(F.col("ts"), seconds), {"_next": "ts"}, ahead=True)
     last = F.coalesce(F.col("_next") - step, F.col("ts"))
-    slots = following.withColumn("_slot", F.explode(F.sequence(F.col("ts"), last, step)))
+    # A long hole is cut into stretches first, so that no row holds all its slots.
+    stretch = F.expr(f"interval {seconds * HOLE_SLOTS} seconds")
+    cut = following.withColumn("_last", last).withColumn("_from", F.explode(F.sequence(F.col("ts"), F.col("_last"), stretch)))
+    until = F.least(F.col("_last"), F.col("_from") + stretch - step)
+    slots = cut.withColumn("_slot", F.explode(F.sequence(F.col("_from"), until, step)))
     own = F.col("_slot") == F.col("ts")
     return slots.select(
         *by,

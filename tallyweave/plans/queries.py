@@ -634,9 +634,18 @@ def table_checksum(spark, d):
 # Streams -------------------------------------------------------------------------------------
 
 
+#: Files that a micro-batch takes at most.
+STREAM_FILES = 64
+
+
+def _events(spark, d) -> DataFrame:
+    """The table as a stream. The pattern matches the table itself, be it one file or a folder of files."""
+    reader = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", STREAM_FILES)
+    return flow_tables.flows_from_events(reader.parquet(f"{d}/events.parquet*"))
+
+
 def _event_stream(spark, d) -> DataFrame:
-    events = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
-    return flow_tables.counted(flow_tables.flows_from_events(events))
+    return flow_tables.counted(_events(spark, d))
 
 
 @query
@@ -678,16 +687,19 @@ def stream_heavy_hitters(spark, d):
 
 @query
 def stream_redirect(spark, d):
-    """Packets counted into cells and forwarded in the same pass."""
-    events = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
+    """Packets counted and forwarded in one pass over each micro-batch: what was counted, where as much was sent."""
     table = VersionedTable(spark, fresh_path(spark, "tee-totals"))
     forwarded = fresh_path(spark, "tee-forwarded")
-    run = summaries.start_tee(
-        flow_tables.flows_from_events(events),
-        lambda df, batch: table.write(rates.totals(flow_tables.counted(df)), batch),
-        forwarded,
-        fresh_path(spark, "checkpoint"),
-    )
+    keys = ("verdict", "proto")
+
+    def count(df: DataFrame, batch: int) -> None:
+        found = rates.totals(flow_tables.counted(df), by=keys)
+        if batch > 0:
+            both = found.unionByName(table.read(batch - 1))
+            found = both.groupBy(*keys).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+        table.write(found, batch)
+
+    run = summaries.start_tee(_events(spark, d), count, forwarded, fresh_path(spark, "checkpoint"))
     run.awaitTermination()
-    sent = spark.read.parquet(forwarded)
-    return rates.totals(sent, by=("verdict", "proto"))
+    sent = rates.totals(spark.read.parquet(forwarded), by=keys)
+    return table.latest().join(sent, [*keys, "packets", "bytes"], "left_semi")

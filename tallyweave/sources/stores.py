@@ -8,8 +8,8 @@ from tallyweave.sources import schemas as S
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Save a summary; it is small, so one file is enough."""
-    cells.coalesce(1).write.mode("overwrite").parquet(path)
+    """Save a summary; it is small, so one file is enough. The cells are summed in parallel first."""
+    cells.repartition(1).write.mode("overwrite").parquet(path)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -137,8 +137,12 @@ def start_tee(
     """Count packets and forward the counted ones: ``count`` sees every micro-batch."""
 
     def handle(df: DataFrame, batch: int) -> None:
-        count(df, batch)
-        forwarded = df.filter(F.col("verdict") == S.COUNTED)
-        forwarded.write.mode("overwrite").parquet(f"{forward_path}/batch={batch}")
+        df.persist()  # read once for both
+        try:
+            count(df, batch)
+            forwarded = df.filter(F.col("verdict") == S.COUNTED)
+            forwarded.write.mode("overwrite").parquet(f"{forward_path}/batch={batch}")
+        finally:
+            df.unpersist()
 
     return _start(stream.writeStream.foreachBatch(handle), checkpoint, trigger)

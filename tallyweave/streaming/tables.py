@@ -3,33 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    """The latest version of a small result, written alternately to two folders.
+    """The versions of a small result, one folder each.
 
-    A version is the id of the micro-batch that made it. Writing version n leaves
-    version n-1 in place, so a batch that is run again after a failure starts from
-    the same input and overwrites its own output only.
+    A version is the id of the micro-batch that made it. A batch that is run again after a failure overwrites its
+    own folder only. Readers take the newest version whose commit marker is there, so they never see half a
+    version, and one they hold stays until ``keep`` newer ones are written.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, keep: int = 8) -> None:
         self.spark = spark
         self.path = path
+        self.keep = keep
 
     def _folder(self, version: int) -> str:
-        return f"{self.path}/slot={version % 2}"
+        return f"{self.path}/version={version}"
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first."""
+        path, files = self._files()
+        if not files.exists(path):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(path)]
+        numbers = sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [n for n in numbers if files.exists(marker(f"{self._folder(n)}/_SUCCESS"))]
 
     def write(self, df: DataFrame, version: int) -> None:
-        stamped = df.withColumn("version", F.lit(version).cast("bigint"))
-        stamped.write.mode("overwrite").parquet(self._folder(version))
+        df.write.mode("overwrite").parquet(self._folder(version))
+        _, files = self._files()
+        for old in self.versions()[: -self.keep]:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(old)), True)
 
     def read(self, version: int) -> DataFrame:
-        found = self.spark.read.parquet(self._folder(version))
-        return found.filter(F.col("version") == version).drop("version")
+        return self.spark.read.parquet(self._folder(version))
 
     def latest(self) -> DataFrame:
-        both = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/slot=*")
-        newest = both.agg(F.max("version")).scalar()
-        return both.filter(F.col("version") == newest).drop("version", "slot")
+        return self.read(self.versions()[-1])

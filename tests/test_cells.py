@@ -168,3 +168,11 @@ def test_text_queries(spark, skewed):
     assert len(found) == 1
     assert found[0].est >= 6667
     assert [found[0][k] for k in FLOW_KEY] == [0x0A000001, 0x0B000001, 1234, 443, 6]
+
+
+def test_no_key_is_dropped_by_what_its_extra_sums_to(spark):
+    """Sums that are null, negative or cancel the count leave every key in place."""
+    rows = [(k, k, 1, 1, 6, w) for k, w in ((1, None), (2, 5), (3, -9), (4, -1), (5, 0))]
+    flows = spark.createDataFrame(rows, "src_ip long, dst_ip long, src_port int, dst_port int, proto int, w long")
+    found = cells.count_keys(flows, SketchSpec(), extra={"w": F.sum("w")})
+    assert {r["src_ip"]: r["w"] for r in found.collect()} == {1: None, 2: 5, 3: -9, 4: -1, 5: 0}
