@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Size of a record batch on its way to a Python worker, unless the session sets its own: a worker and its executor
+#: hold a few batches each, and whole partitions of texts would fit one of Spark's default size.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Tables of at most so many rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -17,6 +20,21 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` on the record batches of every partition. Workers live on after a task, so they give freed memory back."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return df.mapInArrow(run, T.StructType.fromDDL(schema))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` on every record batch that has rows."""
 
@@ -25,7 +43,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, T.StructType.fromDDL(schema))
+    return map_batches(df, run, schema)
 
 
 def same(left: Column, right: Column) -> Column:

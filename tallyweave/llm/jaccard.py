@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import textcols
 from tallyweave.llm.components import components
-from tallyweave.llm.frames import map_arrow
+from tallyweave.llm.frames import map_arrow, map_batches
 from tallyweave.session import stored
 
 
@@ -160,8 +160,8 @@ def frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
                     names=["token", "class"],
                 )
 
-    sent = docs.select("text").mapInArrow(collect, "part int, tokens binary, many binary, counts binary")
-    found = stored(sent.repartition(parts, "part").mapInArrow(add_up, "token bigint, class int"), "frequent")
+    sent = map_batches(docs.select("text"), collect, "part int, tokens binary, many binary, counts binary")
+    found = stored(map_batches(sent.repartition(parts, "part"), add_up, "token bigint, class int"), "frequent")
     room, lowest = join.most_hot, 64
     for row in found.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 64 rows
         room -= row["count"]
@@ -353,7 +353,7 @@ def small_group_pairs(rows: DataFrame, join: Join, kind: str) -> DataFrame:
 
     cols = rows.select("token", "doc_id", "n", "place", "component", "center")
     sorted_ = cols.repartition("center").sortWithinPartitions("center", "token").drop("center")
-    found = sorted_.mapInArrow(run, f"a {kind}, b {kind}")
+    found = map_batches(sorted_, run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -455,7 +455,7 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
         if rest is not None:
             yield tile(rest)
 
-    found = tiles.repartition(*tile_key).sortWithinPartitions(*key).mapInArrow(run, f"a {kind}, b {kind}")
+    found = map_batches(tiles.repartition(*tile_key).sortWithinPartitions(*key), run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

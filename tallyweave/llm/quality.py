@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import textcols
-from tallyweave.llm.frames import bounded, id_text, map_arrow
+from tallyweave.llm.frames import bounded, id_text, map_arrow, map_batches
 from tallyweave.session import stored
 
 BITS = 18
@@ -132,7 +132,7 @@ def class_counts(rows: DataFrame, min_docs: int) -> tuple[np.ndarray, np.ndarray
                 [pa.array(at.astype(np.int32)), pa.array(total[1][at]), pa.array(total[0][at])], names=["feature", "good", "bad"]
             )
 
-    summed = rows.select("quality", "features").mapInArrow(count, "feature int, good bigint, bad bigint")
+    summed = map_batches(rows.select("quality", "features"), count, "feature int, good bigint, bad bigint")
     summed = summed.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     good, bad = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     found = summed.where(F.col("good") + F.col("bad") >= min_docs).toArrow()  # at most DIMENSIONS rows
