@@ -666,7 +666,8 @@ ORACLES["sampled_sweep"] = _sweep(SWEEP_P, SWEEP_SEEDS) + f"""
 SELECT p, round(avg(abs(est - n)), 6) AS mean_abs_error, round(avg(est - n), 6) AS mean_error, count(*) AS estimates
 FROM est JOIN keys USING ({KEY}) GROUP BY p"""
 ORACLES["sampled_run_log"] = _sweep((0.1, 0.5, 1.0), (1234, 2375)) + f"""
-SELECT p, seed, count(*) AS keys, CAST(sum(n) AS BIGINT) AS packets FROM est JOIN keys USING ({KEY}) GROUP BY p, seed"""
+SELECT p, seed, count(*) AS keys, CAST(sum(n) AS BIGINT) AS packets, round(avg(abs(est - n)), 6) AS mean_abs_error
+FROM est JOIN keys USING ({KEY}) GROUP BY p, seed"""
 
 SLOTS = (
     "slotids AS (SELECT block, CAST(idx AS INTEGER) AS idx"

@@ -462,10 +462,14 @@ def sampled_sweep(spark, d):
 def sampled_run_log(spark, d):
     """Sweep results appended to a CSV log by probability, and read back."""
     found = sweep.sweep_estimates(ev_counted(spark, d), SPEC, "packet_id", ps=(0.1, 0.5, 1.0), seeds=(1234, 2375))
-    runs = found.groupBy("p", "seed").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("packets"))
+    runs = found.groupBy("p", "seed").agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.sum("n").alias("packets"),
+        F.round(F.avg(F.abs(F.col("est") - F.col("n"))), 6).alias("mean_abs_error"),
+    )
     path = fresh_path(spark, "runs")
     stores.append_run_log(runs, path)
-    return spark.read.schema("seed int, keys bigint, packets bigint, p double").csv(path)
+    return spark.read.schema("seed int, keys bigint, packets bigint, mean_abs_error double, p double").csv(path)
 
 
 @query
