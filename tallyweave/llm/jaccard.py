@@ -8,10 +8,12 @@ A document is the set of its distinct shingles. Two link when their Jaccard simi
   (set size - least overlap + 1), so documents meet only through these.
 * Documents that share such a shingle make a group. First each is compared with the group's smallest id, which needs
   as many pairs as there are rows. What that links is one component already; near copies by the thousand are.
-* Groups that still hold several components are cut into tiles by size: the rows outside the component of the
-  smallest id against all rows, so no tile and no number of rows grows with the square of a group that is linked. Pairs within
-  a component are passed over; sizes, the place of the shingle and, in large groups, bitmaps bound the overlap
-  from above before a pair leaves its tile.
+* Groups that still hold several components are cut into tiles by size: rows outside the largest component (the home)
+  against all rows. Pairs within a component are passed over; sizes, the place of the shingle and, in large groups, bitmaps
+  bound the overlap from above before a pair leaves its tile.
+* In large groups this takes two rounds: first only scouts look, a part of the rows outside (by hash). What they link makes
+  larger components, so that few rows are left outside for the second round, in which all others look. A loose group, whose
+  members link with some of the others only, so gives pairs for its scouts instead of for all its rows.
 * Every pair is held against bitmaps of hashed shingles (four bits per shingle, widths in powers of two, by size
   band): bits that only one side has bound the overlap from above. The rest is decided by the intersection of the two
   sorted arrays of shingles, taken from the whole texts.
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import textcols
@@ -44,6 +46,7 @@ class Join:
     """width: words of a shingle; percent: least similarity. hot_docs: documents from which a shingle is frequent;
     most_hot bounds how many frequent shingles are told apart (the threshold is raised to it, which costs time, not links);
     small: rows of a group up to which bitmaps are not sent along; side: rows of a side of a tile;
+    scouts: one in so many rows outside the home of a large group looks for links before the others;
     broadcast_rows: tables of ids up to which they are broadcast instead of shuffled."""
 
     width: int = 5
@@ -52,6 +55,7 @@ class Join:
     most_hot: int = 1 << 21
     small: int = 64
     side: int = 1024
+    scouts: int = 8
     broadcast_rows: int = 500_000
 
     def least(self, n: np.ndarray) -> np.ndarray:
@@ -358,13 +362,13 @@ def small_group_pairs(rows: DataFrame, join: Join, kind: str) -> DataFrame:
 
 
 def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataFrame:
-    """Candidate pairs of large groups. Rows outside the component of the group's smallest id (``apart``) meet all rows,
+    """Candidate pairs of large groups. Rows that are ``apart`` meet all rows,
     in tiles of at most about ``side`` rows a side; sizes order the rows, so tiles out of reach are empty."""
     maps = sets.select(F.col("doc_id").alias("m_id"), "bitmap")
     rows = rows.join(maps, F.col("doc_id") == F.col("m_id")).drop("m_id")
     # Size bands: two sizes whose ratio allows a link lie in one band or in neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / join.percent))).cast("int")
-    rows = rows.withColumns({"band": band, "apart": F.col("component") != F.col("center_component")})
+    rows = rows.withColumn("band", band)
     per = rows.groupBy("token", "band").agg(
         F.count("*").alias("rows"), F.sum(F.col("apart").cast("bigint")).alias("outside")
     )
@@ -459,6 +463,39 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _reachable(n: Column, place: Column, m: Column, m_place: Column, join: Join) -> Column:
+    """The bounds of ``_fits``, on columns."""
+    most = F.least(n - place, m - m_place)
+    return (100 * F.least(n, m) >= join.percent * F.greatest(n, m)) & (100 * most >= join.percent * (n + m - most))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a component: that of ``labels`` (l_id, label) under ``key``, else the key itself."""
+    found = rows.join(labels, F.col(key) == F.col("l_id"), "left")
+    return found.withColumn("component", F.coalesce("label", key)).drop("l_id", "label")
+
+
+def _unsettled(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of groups with several components, and whether they stand ``outside`` the group's largest one."""
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    homes = sizes.groupBy(F.col("token").alias("h_token")).agg(
+        F.max(F.struct("rows", "component"))["component"].alias("home"), F.count("*").alias("parts")
+    )
+    homes = homes.where("parts > 1").drop("parts")
+    found = rows.join(homes, F.col("token") == F.col("h_token")).withColumn("outside", F.col("component") != F.col("home"))
+    return stored(found.drop("h_token", "home"), name)
+
+
+def _joined(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Unsettled ``rows`` again after ``links`` (a, b) have made larger components of theirs."""
+    of = rows.select(F.col("doc_id").alias("o_id"), F.col("component").alias("of")).distinct()
+    met = links.join(of, F.col("a") == F.col("o_id")).select("b", F.col("of").alias("from"))
+    met = met.join(of, F.col("b") == F.col("o_id")).select(F.col("from").alias("a"), F.col("of").alias("b"))
+    larger = components(met).select(F.col("id").alias("l_id"), F.col("component").alias("label"))
+    before = rows.drop("outside").withColumnRenamed("component", "before")
+    return _unsettled(_labelled(before, larger, "before").drop("before"), name)
+
+
 def links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) that connect every two documents which links of all pairs connect."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -467,29 +504,39 @@ def links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     shared = shared.where("members > 1").withColumnRenamed("token", "s_token")
     cells = stored(tokens.join(shared, F.col("token") == F.col("s_token")).drop("s_token"), "cells")
 
-    # The bounds of _fits.
-    n, m = F.col("n"), F.col("center.n")
-    most = F.least(n - F.col("place"), m - F.col("center.place"))
-    fits = (100 * F.least(n, m) >= join.percent * F.greatest(n, m)) & (100 * most >= join.percent * (n + m - most))
+    fits = _reachable(F.col("n"), F.col("place"), F.col("center.n"), F.col("center.place"), join)
     star = cells.where((F.col("doc_id") != F.col("center.doc_id")) & fits)
     star = stored(star.select(F.col("center.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
-    first = verified(star, sets, docs, join)
-    labels = stored(components(first).select(F.col("id").alias("l_id"), "component"), "first-labels")
+    found, tried = verified(star, sets, docs, join), star
+
+    def labels() -> DataFrame:
+        table = stored(components(found).select(F.col("id").alias("l_id"), F.col("component").alias("label")), "labels")
+        return _marked(table, table.count(), join)
+
+    now = labels()
+    columns = ["token", "doc_id", "n", "place", F.col("center.doc_id").alias("center")]
+    large = cells.where(F.col("members") > join.small).select(*columns, (F.col("doc_id") == F.col("center.doc_id")).alias("met"))
+    large = _unsettled(_labelled(large, now, "doc_id"), "unsettled")
+    # Rows that have met all others of their group need not look again: a group's center, then its scouts.
+    looks = F.col("outside") & ~F.col("met")
+    scout = looks & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(join.scouts)) == 0)
+    large = large.withColumn("apart", scout)
+    if large.where("apart").limit(1).count():
+        pairs = tile_pairs(large, sets, join, kind).where("a <> b").distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "scouted")
+        more = verified(pairs, sets, docs, join)
+        found, tried = found.union(more), tried.union(pairs)
+        large = large.withColumn("met", F.col("met") | F.col("apart")).drop("apart")
+        large = _joined(large, more, "unsettled")
+        now = labels()
     # In a group of two all is said.
-    placed = cells.where("members > 2").withColumn("center", F.col("center.doc_id"))
-    placed = placed.join(_marked(labels, labels.count(), join), F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
-    placed = stored(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
-    several = placed.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.max(F.when(F.col("doc_id") == F.col("center"), F.col("component"))).alias("center_component"),
-    )
-    several = several.where("low <> high").select(F.col("token").alias("s_token"), "center_component")
-    rest = stored(placed.join(several, F.col("token") == F.col("s_token")).drop("s_token"), "unsettled")
-    pairs = small_group_pairs(rest.where(F.col("members") <= join.small), join, kind)
-    pairs = pairs.union(tile_pairs(rest.where(F.col("members") > join.small), sets, join, kind)).where("a <> b").distinct()
-    # The star's pairs are settled.
-    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    return first.union(verified(pairs, sets, docs, join))
+    small = cells.where((F.col("members") > 2) & (F.col("members") <= join.small)).select(*columns)
+    small = _unsettled(_labelled(small, now, "doc_id"), "unsettled")
+    rest = small_group_pairs(small, join, kind)
+    rest = rest.union(tile_pairs(large.withColumn("apart", looks), sets, join, kind)).where("a <> b").distinct()
+    # Other pairs are settled.
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return found.union(verified(rest, sets, docs, join))
 
 
 def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:

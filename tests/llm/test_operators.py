@@ -66,7 +66,11 @@ def test_jaccard_against_all_pairs(spark):
             if 100 * len(a & b) >= 80 * len(a | b):
                 x, y = root(i), root(j)
                 group[max(x, y)] = min(x, y)
-    for join in (jaccard.Join(), jaccard.Join(hot_docs=3, small=4, side=8), jaccard.Join(most_hot=0, small=2, broadcast_rows=0)):
+    bounds = (
+        jaccard.Join(), jaccard.Join(hot_docs=3, small=4, side=8), jaccard.Join(most_hot=0, small=2, broadcast_rows=0),
+        jaccard.Join(small=4, scouts=1), jaccard.Join(small=4, scouts=10**9),
+    )
+    for join in bounds:
         found = rows(jaccard.near_copies(docs, join), "doc_id", "n_shingles", "component_id")
         assert found == sorted(((i, len(s), root(i)) for i, s in enumerate(sets)), key=repr)
 
