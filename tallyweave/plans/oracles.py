@@ -203,9 +203,8 @@ def _fasthash(seed: int, final: str) -> str:
 
 
 ORACLES["hash_fasthash64"] = _fasthash(0x2D31E867, _signed("h"))
-ORACLES["hash_fasthash32"] = _fasthash(
-    0xDEADBEEF, f"CAST((CAST(h AS UHUGEINT) + {M64} - (h >> 32)) % 4294967296 AS BIGINT)"
-)
+FASTHASH32 = f"CAST((CAST(h AS UHUGEINT) + {M64} - (h >> 32)) % 4294967296 AS BIGINT)"
+ORACLES["hash_fasthash32"] = _fasthash(0xDEADBEEF, FASTHASH32)
 
 
 def _xxhash32(seed: int) -> str:
@@ -521,6 +520,23 @@ cells AS (SELECT r, col, sum(sgn) AS v FROM upd GROUP BY r, col)
 
 ORACLES["cs_cells_fasthash"] = _fasthash_cells()
 
+
+def _row_hash_cells(hashes: list[str]) -> str:
+    """Cells of one 32-bit hash per row; bit 31 is the sign."""
+    rows = " UNION ALL ".join(f"SELECT {r} AS r, packet_id, h FROM ({sql})" for r, sql in enumerate(hashes))
+    return f"""WITH hashed AS ({rows}), upd AS (
+  SELECT r, h & 511 AS col, {sign_of("h", 31)} AS sgn
+  FROM hashed JOIN events ON event_id = packet_id AND event_type <> 'error'),
+cells AS (SELECT r, col, sum(sgn) AS v FROM upd GROUP BY r, col)
+{CELL_ROWS}"""
+
+
+# One seed per row.
+ROW_SEEDS = (0x2D31E867, 0x6AD611C4, 0x00000000, 0xFFFFFFFF)
+ORACLES["cs_cells_xxhash32_rows"] = _row_hash_cells([_xxhash32(seed) for seed in ROW_SEEDS])
+ORACLES["cs_cells_fasthash32_rows"] = _row_hash_cells([_fasthash(seed, FASTHASH32) for seed in ROW_SEEDS])
+ORACLES["packets_cells"] = ORACLES["cm_cells"]
+
 KEYS = f"keys AS (SELECT {KEY}, count(*) AS n FROM flows GROUP BY {KEY})"
 
 

@@ -279,6 +279,26 @@ def cs_cells_per_row_hash(spark, d):
     return cells.build_count_sketch(ev_counted(spark, d), MD5_ROWS)
 
 
+@query
+def cs_cells_xxhash32_rows(spark, d):
+    """A published 32-bit hash per row, keys counted before they are hashed."""
+    return cells.build_count_sketch(ev_counted(spark, d), SketchSpec(family="xxhash32_rows"), pre_aggregate=True)
+
+
+@query
+def cs_cells_fasthash32_rows(spark, d):
+    return cells.build_count_sketch(ev_counted(spark, d), SketchSpec(family="fasthash32_rows"), pre_aggregate=True)
+
+
+@query
+def packets_cells(spark, d):
+    """A stored table of frames, read, decoded and counted."""
+    path = fresh_path(spark, "packets")
+    frames.encode_frames(ev_counted(spark, d)).select(*schemas.PACKET.names).write.parquet(path)
+    flows = frames.decode_frames(frames.read_packets(spark, path))
+    return cells.build_count_min(flow_tables.counted(flows), SPEC)
+
+
 @query
 def cs_cells_fasthash(spark, d):
     """Bit-exact hash of the packed key, keys counted before they are hashed."""
