@@ -16,6 +16,7 @@ with their parent); an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -33,6 +34,10 @@ from tallyweave.session import stored
 SALTS = 16
 #: Elements below this depth are read as part of the one above.
 DEPTH = 40
+#: Texts are fixed on hosts of so many pages.
+FIXED_PAGES = 3
+#: Pages with so many times more in fixed texts than in others are copies of one another.
+COPIES = 2
 #: A host's partial wrapper leaves a task when the task knows so many hosts.
 HOSTS_HELD = 2_000
 
@@ -183,25 +188,37 @@ def parse(page: str) -> Node:
 
 
 # Wrappers ----------------------------------------------------------------------
-# An item is [token, optional, repeated, text, chars, flags, children]. text: a fixed text, or None for a slot;
-# flags: 1 aside, 2 main; children of an element, or of a group of siblings (token "()").
+# An item is [token, optional, repeated, text, chars, flags, children, always, blocks]. text: a fixed text, or None for a
+# slot; flags: 1 aside, 2 main; children of an element, or of a group of siblings (token "()"); always: keys of the texts
+# that every page read so far shows here, with their chars; chars (not of links) and blocks: of all texts that came here.
 Item = list
 
 
-def item(node: Node) -> Item:
+def below(path: bytes, token: str) -> bytes:
+    """The place of an element below the place ``path``."""
+    return hashlib.blake2b(path + token.encode("utf-8", "replace"), digest_size=12).digest()
+
+
+def key(path: bytes, text: str) -> str:
+    """A text at its place."""
+    return hashlib.blake2b(path + b"#" + text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def item(node: Node, path: bytes) -> Item:
     if node.name == "#":
         text = " ".join(node.text.split())
-        return ["#", False, False, text, 0 if node.linked else len(text), 0, []]
-    return [node.token, False, False, None, 0, node.aside + 2 * node.main, items(node.children)]
+        return ["#", False, False, text, 0 if node.linked else len(text), 0, [], {key(path, text): 0 if node.linked else len(text)}, 1]
+    inner = items(node.children, below(path, node.token))
+    return [node.token, False, False, None, 0, node.aside + 2 * node.main, inner, {}, 0]
 
 
-def items(nodes: list[Node]) -> list[Item]:
+def items(nodes: list[Node], path: bytes = b"") -> list[Item]:
     """The children of a node as items, with repeated runs folded. What is left out anyway is not looked into."""
     found = []
     for n in nodes:
         if n.name == "#" and not n.text.strip():
             continue
-        found.append([n.token, False, False, None, 0, 1, []] if n.aside else item(n))
+        found.append([n.token, False, False, None, 0, 1, [], {}, 0] if n.aside else item(n, path))
     return fold(found)
 
 
@@ -214,7 +231,7 @@ def fold(row: list[Item]) -> list[Item]:
             if len(out) >= 2 * period and all(out[-k][0] == out[-k - period][0] for k in range(1, period + 1)):
                 again = [out.pop() for _ in range(period)][::-1]
                 first = [out.pop() for _ in range(period)][::-1]
-                both = [join(a, b) for a, b in zip(first, again)]
+                both = [join(a, b, True) for a, b in zip(first, again)]
                 if period == 1:
                     both[0][2] = True
                     out.append(both[0])
@@ -226,18 +243,29 @@ def fold(row: list[Item]) -> list[Item]:
     return row
 
 
-def join(a: Item, b: Item) -> Item:
-    """Two items of the same token as one."""
+def join(a: Item, b: Item, same: bool = False) -> Item:
+    """Two items of the same token as one; ``same``: siblings, which the same pages show."""
     text = a[3] if a[3] == b[3] else None
-    return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], a[5] | b[5], align(a[6], b[6])]
+    always = a[7] | b[7] if same else {k: n for k, n in a[7].items() if k in b[7]}
+    return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], a[5] | b[5], align(a[6], b[6], same), always, a[8] + b[8]]
+
+
+def lone(x: Item, same: bool) -> Item:
+    """An item that one side only has. If the sides are different pages, no text of it is on all pages."""
+    found = x if same else seldom(x)
+    return [x[0], True, *found[2:]]
+
 
+def seldom(x: Item) -> Item:
+    return [*x[:6], [seldom(y) for y in x[6]], {}, x[8]]
 
-def align(a: list[Item], b: list[Item]) -> list[Item]:
+
+def align(a: list[Item], b: list[Item], same: bool = False) -> list[Item]:
     """Two sequences as one: items of the longest common subsequence are joined, all others become optional."""
     if not a or not b:
-        return [[x[0], True, *x[2:]] for x in a or b]
+        return [lone(x, same) for x in a or b]
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [join(x, y) for x, y in zip(a, b)]
+        return [join(x, y, same) for x, y in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -247,13 +275,13 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(join(a[i], b[j]))
+            out.append(join(a[i], b[j], same))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
+            out.append(lone(a[i], same))
             i += 1
         else:
-            out.append([b[j][0], True, *b[j][2:]])
+            out.append(lone(b[j], same))
             j += 1
     return fold(out)
 
@@ -261,7 +289,7 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
 def expression(row: list[Item]) -> str:
     """A wrapper as text: ``tag(...)`` elements, ``#`` slots, quoted fixed texts, ``?`` optional, ``+`` repeated."""
     out = []
-    for token, optional, repeated, text, _, _, inner in row:
+    for token, optional, repeated, text, _, _, inner, *_ in row:
         body = ("#" if text is None else json.dumps(text)) if token == "#" else f"{token}({expression(inner)})"
         out.append(body + "+" * repeated + "?" * optional)
     return " ".join(out)
@@ -274,8 +302,31 @@ def slot_chars(x: Item) -> int:
     return (x[4] if x[0] == "#" and x[3] is None else 0) + sum(slot_chars(y) for y in x[6])
 
 
+def fixed_texts(row: list[Item], pages: int) -> list[str]:
+    """Keys of the texts that all pages show at one place and that are not left out anyway. Where nearly all is on all
+    pages, these are copies of one article, and none of it is fixed."""
+    found: dict[str, int] = {}
+    chars = blocks = 0
+
+    def collect(row: list[Item]) -> None:
+        nonlocal chars, blocks
+        for x in row:
+            if not x[5] & 1:
+                found.update(x[7])
+                chars, blocks = chars + x[4], blocks + x[8]
+                collect(x[6])
+
+    if pages < FIXED_PAGES:
+        return []
+    collect(row)
+    same, n = pages * sum(found.values()), pages * len(found)
+    if same >= COPIES * (chars - same) and n >= COPIES * (blocks - n):
+        return []
+    return sorted(found)
+
+
 def rule(wrapper: list[Item], pages: int) -> dict:
-    """Where the article is: the tokens of its element, and the fixed texts beside slots that are not part of it.
+    """Where the article is: the token of its element, and the fixed texts beside slots that are not part of it.
     An article element comes first, then the main part, then the smallest element with most of the slots."""
 
     def search(row: list[Item], path: list[str], wanted) -> list[str] | None:
@@ -298,58 +349,46 @@ def rule(wrapper: list[Item], pages: int) -> dict:
             break
         path.append(inner[0])
         row = inner[6]
-    fixed: list[str] = []
-
-    def collect(row: list[Item]) -> None:
-        for x in row:
-            if x[0] == "#" and x[3]:
-                fixed.append(x[3])
-            elif not x[5] & 1:
-                collect(x[6])
-
-    if pages >= 3 and total:
-        collect(wrapper)
-    return {"root": path[-1] if path else "", "fixed": sorted(set(fixed))}
+    return {"root": path[-1] if path else "", "fixed": fixed_texts(wrapper, pages)}
 
 
 def extract(page: str, found: dict) -> str:
     """The article of a page by its host's rule; a page that does not have the rule's element is read by its own."""
     tree = parse(page)
-    roots = _named(tree, found["root"]) if found["root"] else [tree]
+    roots = _named(tree, found["root"]) if found["root"] else [(tree, b"")]
     if not roots:
         own = rule(items(tree.children), 1)
-        roots = _named(tree, own["root"]) if own["root"] else [tree]
+        roots = _named(tree, own["root"]) if own["root"] else [(tree, b"")]
     fixed = set(found["fixed"])
     blocks: list[str] = []
-
-    def walk(node: Node) -> None:
-        for x in node.children:
-            if x.name == "#":
-                text = " ".join(x.text.split())
-                if text and text not in fixed:
-                    blocks.append(text)
-            elif not x.aside:
-                walk(x)
-
-    for root in roots:
-        walk(root)
+    todo = [(root, path) for root, path in reversed(roots)]
+    while todo:
+        node, path = todo.pop()
+        if node.name != "#":
+            if node.children:
+                inner = below(path, node.token) if fixed and node is not tree else path
+                todo += [(x, inner) for x in reversed(node.children) if not x.aside]
+        else:
+            text = " ".join(node.text.split())
+            if text and not (fixed and key(path, text) in fixed):
+                blocks.append(text)
     return " ".join(blocks)
 
 
-def _named(tree: Node, token: str) -> list[Node]:
-    """Outermost elements of a token that are not left out; an article also under other classes."""
+def _named(tree: Node, token: str) -> list[tuple[Node, bytes]]:
+    """Outermost elements of a token that are not left out, with the places that hold them; an article also under other
+    classes."""
     name = token.split(".")[0]
-    out: list[Node] = []
-
-    def walk(node: Node) -> None:
-        for x in node.children:
-            if x.name != "#" and not x.aside:
-                if x.token == token or name == "article" and x.name == "article":
-                    out.append(x)
-                else:
-                    walk(x)
-
-    walk(tree)
+    out: list[tuple[Node, bytes]] = []
+    todo = [(x, b"") for x in reversed(tree.children)]
+    while todo:
+        x, path = todo.pop()
+        if x.name != "#" and not x.aside:
+            if x.token == token or name == "article" and x.name == "article":
+                out.append((x, path))
+            else:
+                inner = below(path, x.token)
+                todo += [(y, inner) for y in reversed(x.children)]
     return out
 
 

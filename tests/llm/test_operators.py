@@ -126,6 +126,29 @@ def test_wrappers_have_slots_options_and_repeats():
     assert wrappers.expression(wrappers.align(one, two)) == 'div(h1("A") ul(li("1"))? p(#)+)'
 
 
+def texts_of(bodies):
+    """The texts of one host's pages by its rule."""
+    wrapper = wrappers.items(wrappers.parse(bodies[0]).children)
+    for body in bodies[1:]:
+        wrapper = wrappers.align(wrapper, wrappers.items(wrappers.parse(body).children))
+    found = wrappers.rule(wrapper, len(bodies))
+    return [wrappers.extract(body, found) for body in bodies]
+
+
+def test_wrappers_fix_only_what_all_pages_show():
+    page = "<div class=page><p>Fixed terms</p><div class=body><p>Text {0} of page {0}, long enough</p>{1}<p>More of page {0}, long enough</p></div></div>"
+    only = ["<h3>Alone</h3>", "<pre>code</pre>", "<blockquote><p>quoted</blockquote>", "<ul><li>one</ul>", ""]
+    said = [" Alone", " code", " quoted", " one", ""]
+    for n in (2, 3, 5):
+        found = texts_of([page.format(k, x) for k, x in zip(range(n), only)])
+        wanted = [f"Text {k} of page {k}, long enough{said[k]} More of page {k}, long enough" for k in range(n)]
+        assert [x.removeprefix("Fixed terms ") for x in found] == wanted and (n < 3 or found == wanted)
+    twice = texts_of([page.format(k, "<p>Fixed terms</p>" * (k == 1)) for k in range(4)])
+    assert twice[1] == "Text 1 of page 1, long enough Fixed terms More of page 1, long enough"
+    copies = [f"<div class=page><h1>Title {k}</h1>" + "".join(f"<p>Paragraph {i}</p>" for i in range(9)) + "</div>" for k in range(3)]
+    assert all("Paragraph 0 Paragraph 1" in text for text in texts_of(copies))
+
+
 def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
