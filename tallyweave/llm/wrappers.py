@@ -325,9 +325,19 @@ def fixed_texts(row: list[Item], pages: int) -> list[str]:
     return sorted(found)
 
 
+def regions(row: list[Item], token: str) -> list[Item]:
+    """Outermost items of a token, as in :func:`_named`."""
+    out = []
+    for x in row:
+        if not x[5] & 1:
+            article = token.split(".")[0] == "article" == x[0].split(".")[0]
+            out += [x] if x[0] == token or article else regions(x[6], token)
+    return out
+
+
 def rule(wrapper: list[Item], pages: int) -> dict:
     """Where the article is: the token of its element, and the fixed texts beside slots that are not part of it.
-    An article element comes first, then the main part, then the smallest element with most of the slots."""
+    An article element comes first (what it holds is then sorted into slots and fixed texts as elsewhere), then the main part, then the smallest element with most of the slots."""
 
     def search(row: list[Item], path: list[str], wanted) -> list[str] | None:
         for x in row:
@@ -340,7 +350,7 @@ def rule(wrapper: list[Item], pages: int) -> dict:
 
     for wanted in (lambda x: x[0].split(".")[0] == "article", lambda x: x[5] & 2):
         if found := search(wrapper, [], wanted):
-            return {"root": found[-1], "fixed": []}
+            return {"root": found[-1], "fixed": fixed_texts(regions(wrapper, found[-1]), pages)}
     path: list[str] = []
     row, total = wrapper, sum(slot_chars(x) for x in wrapper)
     while total:

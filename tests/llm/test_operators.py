@@ -149,6 +149,15 @@ def test_wrappers_fix_only_what_all_pages_show():
     assert all("Paragraph 0 Paragraph 1" in text for text in texts_of(copies))
 
 
+def test_wrappers_decide_inside_articles():
+    for name in ("article", "main"):
+        page = "<{1}><h1>Title {0}</h1><div><p>Text {0} of page {0}</div><div class=x>Terms</div><p>Text {0} b</{1}><p>out {0}"
+        assert texts_of([page.format(k, name) for k in range(3)])[1] == "Title 1 Text 1 of page 1 Text 1 b"
+        assert texts_of([page.format(k, name) for k in range(2)])[1] == "Title 1 Text 1 of page 1 Terms Text 1 b"
+    listed = "<article><p>Text {0}</p><p>More {0}</p><p>More text {0}</p><p>Read on</p></article>"
+    assert texts_of([listed.format(k) for k in range(3)])[2] == "Text 2 More 2 More text 2"
+
+
 def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
