@@ -48,6 +48,8 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr img".split()
 )
 RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|title|math"
+#: Of these, the ones that hold nothing where the start tag ends in "/>".
+CLOSES_ITSELF = "svg|math|object|canvas"
 LEFT_OUT = frozenset(
     "head nav header footer aside form button select option fieldset label legend dialog menu datalist audio video "
     "applet frameset".split()
@@ -82,7 +84,8 @@ COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus res
 MAIN_WORDS = frozenset(["main", "articlebody"])
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:{CLOSES_ITSELF})(?=[\s/])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
+    rf"|<({RAW})(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )

@@ -158,6 +158,15 @@ def test_wrappers_decide_inside_articles():
     assert texts_of([listed.format(k) for k in range(3)])[2] == "Text 2 More 2 More text 2"
 
 
+def test_pages_go_on_after_self_closed_and_custom_elements():
+    for inner in (
+        '<svg viewBox="0 0 1 1"/>', '<svg-icon name="x"></svg-icon>', "<math/>", "<object data='x>' />", "<title-bar></title-bar>",
+        "<template-x></template-x>", "<svg><path/></svg>", "<svg/><svg>no</svg>", "<script src='a'>no</script >", "<style\n>no</style>",
+    ):
+        page = f"<article><p>a</p>{inner}<p>b</p></article>"
+        assert wrappers.extract(page, {"root": "article", "fixed": []}) == "a b", inner
+
+
 def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
