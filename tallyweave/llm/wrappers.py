@@ -20,6 +20,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +33,7 @@ from tallyweave.session import stored
 
 #: Partial wrappers of a host are merged in so many parts first.
 SALTS = 16
-#: Elements below this depth are read as part of the one above.
+#: In wrappers, texts below this depth stand side by side in the element above. Pages are read at any depth.
 DEPTH = 40
 #: Texts are fixed on hosts of so many pages.
 FIXED_PAGES = 3
@@ -126,6 +127,7 @@ def parse(page: str) -> Node:
     """The page as a tree; texts keep their white space until blocks are joined."""
     root = Node("", "")
     stack, anchors = [root], 0
+    opened: Counter[str] = Counter()
 
     def add_text(text: str) -> None:
         if text:
@@ -136,10 +138,16 @@ def parse(page: str) -> Node:
             else:
                 last.append(Node("#", "#", text=text, linked=anchors > 0))
 
+    def cut(k: int) -> None:
+        opened.subtract(n.name for n in stack[k:])
+        del stack[k:]
+
     def close_to(name: str, stops: frozenset[str]) -> None:
+        if not opened[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name == name:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].name in stops:
                 return
@@ -159,7 +167,7 @@ def parse(page: str) -> Node:
             if name == "a":
                 anchors = max(0, anchors - 1)
             elif name not in INLINE and name not in VOID:
-                if name == "p" and not any(n.name == "p" for n in stack):
+                if name == "p" and not opened["p"]:
                     add_text(" ")
                 close_to(name, frozenset())
             continue
@@ -171,20 +179,18 @@ def parse(page: str) -> Node:
             continue
         anchors = 0
         while stack[-1].name in CLOSED_BY and name in CLOSED_BY[stack[-1].name]:
-            stack.pop()
+            cut(len(stack) - 1)
         for open_name, closers in CLOSED_BY.items():
             if name in closers:
                 close_to(open_name, HOLDS - {open_name})
         node = element(name, m.group(4))
-        if name in ("article", "main") and not any(n.name in ("article", "main") for n in stack):
+        if name in ("article", "main") and not opened["article"] and not opened["main"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in ENDS_AT_ARTICLE:
-                    del stack[k:]
-        if len(stack) > DEPTH:
-            add_text(" ")
-            continue
+                    cut(k)
         stack[-1].children.append(node)
         stack.append(node)
+        opened[name] += 1
     if at < len(page):
         add_text(html.unescape(page[at:]))
     return root
@@ -207,24 +213,36 @@ def key(path: bytes, text: str) -> str:
     return hashlib.blake2b(path + b"#" + text.encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
-def item(node: Node, path: bytes) -> Item:
+def item(node: Node, path: bytes, depth: int) -> Item:
     if node.name == "#":
         text = " ".join(node.text.split())
         return ["#", False, False, text, 0 if node.linked else len(text), 0, [], {key(path, text): 0 if node.linked else len(text)}, 1]
-    inner = items(node.children, below(path, node.token))
+    inner = items(node.children, below(path, node.token), depth + 1)
     return [node.token, False, False, None, 0, node.aside + 2 * node.main, inner, {}, 0]
 
 
-def items(nodes: list[Node], path: bytes = b"") -> list[Item]:
+def items(nodes: list[Node], path: bytes = b"", depth: int = 1) -> list[Item]:
     """The children of a node as items, with repeated runs folded. What is left out anyway is not looked into."""
     found = []
-    for n in nodes:
+    for n, place, level in deep(nodes, path, depth) if depth >= DEPTH else ((n, path, depth) for n in nodes):
         if n.name == "#" and not n.text.strip():
             continue
-        found.append([n.token, False, False, None, 0, 1, [], {}, 0] if n.aside else item(n, path))
+        found.append([n.token, False, False, None, 0, 1, [], {}, 0] if n.aside else item(n, place, level))
     return fold(found)
 
 
+def deep(nodes: list[Node], path: bytes, depth: int) -> Iterator[tuple[Node, bytes, int]]:
+    """The texts at any depth below, in order, with their places. Above the last level, articles and main parts come whole."""
+    todo = [(n, path) for n in reversed(nodes)]
+    while todo:
+        n, place = todo.pop()
+        if n.name == "#" or depth == DEPTH and not n.aside and (n.name == "article" or n.main):
+            yield n, place, depth
+        elif not n.aside:
+            inner = below(place, n.token)
+            todo += [(x, inner) for x in reversed(n.children)]
+
+
 def fold(row: list[Item]) -> list[Item]:
     """Runs of one to three siblings that repeat at once become one repeated item or group."""
     for period in (1, 2, 3):

@@ -167,6 +167,17 @@ def test_pages_go_on_after_self_closed_and_custom_elements():
         assert wrappers.extract(page, {"root": "article", "fixed": []}) == "a b", inner
 
 
+def test_pages_are_read_at_any_depth():
+    for n in (30, 60, 3000):
+        deep = "<div>" * n + "deep {0}<nav>no</nav><div class=comments>no</div>" + "</div>" * n
+        inside = "<div><article><p>first {0}</p>" + deep + "<p>last {0}</p></article></div><p>out {0}</p>"
+        assert texts_of([inside.format(k) for k in range(3)])[1] == "first 1 deep 1 last 1"
+        under = "<p>out {0}</p>" + "<div>" * n + "<article><h1>Title {0}</h1><p>text {0}</p><p>Terms</p></article><p>out {0}</p>" + "</div>" * n
+        assert texts_of([under.format(k) for k in range(3)])[1] == "Title 1 text 1"
+        unclosed = "<article><p>first {0}</p>" + "<blockquote><table><tr><td>" * n + "deep {0}" + "</div></p>" * n + "</article><p>out"
+        assert texts_of([unclosed.format(k) for k in range(2)])[1].split() == ["first", "1", "deep", "1"]
+
+
 def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
