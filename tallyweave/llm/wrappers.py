@@ -136,7 +136,7 @@ def parse(page: str) -> Node:
                 last[-1].text += text
                 last[-1].linked &= anchors > 0 or not text.strip()
             else:
-                last.append(Node("#", "#", text=text, linked=anchors > 0))
+                last.append(Node("#", "#", text=text, linked=anchors > 0 or not text.strip()))
 
     def cut(k: int) -> None:
         opened.subtract(n.name for n in stack[k:])
@@ -316,11 +316,12 @@ def expression(row: list[Item]) -> str:
     return " ".join(out)
 
 
-def slot_chars(x: Item) -> int:
-    """Characters in the slots (not links, not fixed texts) below an item."""
+def slot_chars(x: Item, fixed: frozenset[str]) -> int:
+    """Characters in the texts (not links, not fixed texts) below an item."""
     if x[5] & 1:
         return 0
-    return (x[4] if x[0] == "#" and x[3] is None else 0) + sum(slot_chars(y) for y in x[6])
+    own = x[4] if x[0] == "#" and (x[3] is None or fixed.isdisjoint(x[7])) else 0
+    return own + sum(slot_chars(y, fixed) for y in x[6])
 
 
 def fixed_texts(row: list[Item], pages: int) -> list[str]:
@@ -358,7 +359,8 @@ def regions(row: list[Item], token: str) -> list[Item]:
 
 def rule(wrapper: list[Item], pages: int) -> dict:
     """Where the article is: the token of its element, and the fixed texts beside slots that are not part of it.
-    An article element comes first (what it holds is then sorted into slots and fixed texts as elsewhere), then the main part, then the smallest element with most of the slots."""
+    An article element comes first (what it holds is then sorted into slots and fixed texts as elsewhere), then the main part, then the smallest element with most of the slots; there
+    the texts beside it that are neither links nor fixed belong to the article too."""
 
     def search(row: list[Item], path: list[str], wanted) -> list[str] | None:
         for x in row:
@@ -373,33 +375,39 @@ def rule(wrapper: list[Item], pages: int) -> dict:
         if found := search(wrapper, [], wanted):
             return {"root": found[-1], "fixed": fixed_texts(regions(wrapper, found[-1]), pages)}
     path: list[str] = []
-    row, total = wrapper, sum(slot_chars(x) for x in wrapper)
+    fixed = fixed_texts(wrapper, pages)
+    known = frozenset(fixed)
+    row, total = wrapper, sum(slot_chars(x, known) for x in wrapper)
     while total:
-        inner = max((x for x in row if x[0] != "#"), key=slot_chars, default=None)
-        if inner is None or slot_chars(inner) < 0.7 * total or inner[2]:
+        inner = max((x for x in row if x[0] != "#"), key=lambda x: slot_chars(x, known), default=None)
+        if inner is None or slot_chars(inner, known) < 0.7 * total or inner[2]:
             break
         path.append(inner[0])
         row = inner[6]
-    return {"root": path[-1] if path else "", "fixed": fixed_texts(wrapper, pages)}
+    return {"root": path[-1] if path else "", "fixed": fixed, "beside": True}
 
 
 def extract(page: str, found: dict) -> str:
     """The article of a page by its host's rule; a page that does not have the rule's element is read by its own."""
     tree = parse(page)
-    roots = _named(tree, found["root"]) if found["root"] else [(tree, b"")]
-    if not roots:
+    roots, beside = _named(tree, found["root"]), found.get("beside", False)
+    if found["root"] and not roots:
         own = rule(items(tree.children), 1)
-        roots = _named(tree, own["root"]) if own["root"] else [(tree, b"")]
+        roots, beside = _named(tree, own["root"]), own.get("beside", False)
     fixed = set(found["fixed"])
     blocks: list[str] = []
-    todo = [(root, path) for root, path in reversed(roots)]
+    # Without links: what stands beside the roots.
+    todo = [(root, path, False) for root, path in reversed(roots)]
+    if beside or not roots:
+        todo = [(tree, b"", bool(roots))]
+    whole = {id(root) for root, _ in roots}
     while todo:
-        node, path = todo.pop()
+        node, path, outside = todo.pop()
         if node.name != "#":
-            if node.children:
-                inner = below(path, node.token) if fixed and node is not tree else path
-                todo += [(x, inner) for x in reversed(node.children) if not x.aside]
-        else:
+            outside = outside and id(node) not in whole
+            inner = below(path, node.token) if fixed and node is not tree else path
+            todo += [(x, inner, outside) for x in reversed(node.children) if not x.aside]
+        elif not (outside and node.linked):
             text = " ".join(node.text.split())
             if text and not (fixed and key(path, text) in fixed):
                 blocks.append(text)
@@ -408,7 +416,9 @@ def extract(page: str, found: dict) -> str:
 
 def _named(tree: Node, token: str) -> list[tuple[Node, bytes]]:
     """Outermost elements of a token that are not left out, with the places that hold them; an article also under other
-    classes."""
+    classes. None for the empty token."""
+    if not token:
+        return []
     name = token.split(".")[0]
     out: list[tuple[Node, bytes]] = []
     todo = [(x, b"") for x in reversed(tree.children)]

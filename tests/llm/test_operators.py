@@ -178,6 +178,18 @@ def test_pages_are_read_at_any_depth():
         assert texts_of([unclosed.format(k) for k in range(2)])[1].split() == ["first", "1", "deep", "1"]
 
 
+def test_texts_beside_the_largest_element_stay():
+    menu = "<div> <a href=a>Menu</a> <a href=b>Menu b</a></div>"
+    body = "<div class=body><p>" + "Text {0} " * 8 + "<p>" + "More {0} " * 8 + "</div>"
+    for lead in ("<div class=lead>Lead {0}</div>", "<h1>Title {0}</h1>"):
+        for n in (1, 2, 3, 4):
+            found = texts_of([(f"<div class=page>{menu}{lead}{body}</div>").format(k) for k in range(n)])
+            said = ["Lead" if "lead" in lead else "Title", "0", *["Text", "0"] * 8, *["More", "0"] * 8]
+            assert found[0].split() == said
+    # A page of its own form.
+    assert wrappers.extract("<p>a<p>b", {"root": "div.none", "fixed": [], "beside": True}) == "a b"
+
+
 def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
