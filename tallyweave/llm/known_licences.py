@@ -1,4 +1,12 @@
-"""Names and texts of common licences and of the notices that name one."""
+"""Names and texts of common licences and of the notices that name one.
+
+Full texts are files of ``licence_texts``, each named by its licence. They are known with and without what follows
+their terms (how to apply the licence), and with the addresses that the publisher has had.
+"""
+
+import re
+from itertools import product
+from pathlib import Path
 
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -56,6 +64,83 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{2}
+THIS SOFTWARE IS PROVIDED BY THE {3} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {4} BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_MARKS = (("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("a. ", "b. ", "c. "))
+_BSD_PARTIES = (
+    ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"),
+    ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS"),
+    ("REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"),
+    ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"),
+    ("AUTHOR", "AUTHOR"),
+)
+_BSD_ENDORSING = (
+    *(
+        f"Neither the name of the {holder} nor the names of {its} contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+        for holder in ("copyright holder", "University", "author") for its in ("its", "the")
+    ),
+    "The name of the author may not be used to endorse or promote products derived from this software without specific "
+    "prior written permission.",
+)
+_BSD_TITLES = {
+    "BSD-2-Clause": ("", "BSD 2-Clause License\n\n", "The BSD 2-Clause License\n\n", "Simplified BSD License\n\n"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License\n\n", "The BSD 3-Clause License\n\n", "New BSD License\n\n", "BSD License\n\n"),
+}
+
+
+def _bsd() -> list[tuple[str, str]]:
+    found = []
+    for marks, parties in product(_BSD_MARKS, _BSD_PARTIES):
+        for name, thirds in (("BSD-2-Clause", [""]), ("BSD-3-Clause", [marks[2] + x + "\n" for x in _BSD_ENDORSING])):
+            found += [(name, t + _BSD.format(*marks[:2], x, *parties)) for t, x in product(_BSD_TITLES[name], thirds)]
+    return found
+
+
+_TERMS_END = re.compile(r"^ *END OF TERMS AND CONDITIONS *$|^(?=ADDENDUM: How|EXHIBIT A -|Exhibit A - )", re.M)
+_TEMPLATE_LINE = re.compile(r"^ *Copyright \[yyyy\].*\n", re.M)
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
+_ADDRESSES = (
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA",
+    "675 Mass Ave, Cambridge, MA 02139, USA",
+)
+
+
+def _words(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text.lower())).replace("copyright owner", "copyright holder").replace("https", "http")
+
+
+def _once(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Of variants with the same words the first: a known digest has one row."""
+    return list({_words(body): (name, body) for name, body in reversed(texts)}.values())[::-1]
+
+
+def _full() -> list[tuple[str, str]]:
+    found = []
+    for file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        forms = [text, _TEMPLATE_LINE.sub("", text)]
+        if end := _TERMS_END.search(text):
+            forms += [text[: end.end()], text[: end.start()]]
+        for form in forms:
+            for body in (form, *(_ADDRESS.sub(x, form) for x in _ADDRESSES)):
+                found.append((file.stem, body))
+    return found
+
+
 TEXTS = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -72,4 +157,5 @@ TEXTS = (
     ),
     ("Zlib", _ZLIB),
     ("Apache-2.0", _APACHE_NOTICE),
+    *_once([*_bsd(), *_full()]),
 )

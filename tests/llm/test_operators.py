@@ -190,6 +190,26 @@ def test_texts_beside_the_largest_element_stay():
     assert wrappers.extract("<p>a<p>b", {"root": "div.none", "fixed": [], "beside": True}) == "a b"
 
 
+def test_full_licences_are_known(spark):
+    from pathlib import Path
+
+    folder = Path(licences.__file__).parent / "licence_texts"
+    texts = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    apache = texts["Apache-2.0"]
+    lines = [(name, text) for name, text in texts.items()]
+    lines += [("Apache-2.0", apache[: apache.index("   APPENDIX")]), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 X"))]
+    lines += [("GPL-2.0", texts["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"))]
+    for package in ("idna",):
+        import importlib.metadata
+
+        found = [f for f in importlib.metadata.files(package) or () if "LICENSE" in f.name]
+        lines += [("BSD-3-Clause", f.locate().read_text()) for f in found]
+    assert len(texts) >= 14 and len(lines) >= 18
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(lines)], "doc_id long, text string")
+    assert rows(licences.scan(docs), "doc_id", "license") == sorted(((i, name) for i, (name, _) in enumerate(lines)), key=repr)
+    assert len({r["known_digest"] for r in licences.known(docs, licences.TEXTS).collect()}) == licences.known(docs, licences.TEXTS).count()
+
+
 def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
