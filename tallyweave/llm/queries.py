@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import fingerprint, hostrules, jaccard, language, licences, linededup, mixing, packing, quality, wrappers
+from tallyweave.llm import bpe, fingerprint, hostrules, jaccard, language, licences, linededup, mixing, packing, quality, wrappers
 from tallyweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,14 @@ def op4_jaccard(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op2_licences(spark: SparkSession, directory: str) -> DataFrame:
     return licences.scan(table(spark, directory, "documents"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    found = bpe.recode(table(spark, directory, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
