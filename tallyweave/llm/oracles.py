@@ -160,3 +160,41 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT n.doc_id, n.n AS n_shingles, (SELECT min(reach) FROM r WHERE r.id = n.doc_id) AS component_id FROM n
 """
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH c AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+h AS (
+  SELECT conv_id, own, conv_id - conv_id % 20 AS base, CAST(xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, b: xor(xor(x, b) // 2, 3988292384 * (xor(x, b) % 2))), 4294967295) % 4 AS INTEGER) AS h
+  FROM c
+),
+s AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), coalesce(h.own[h.h + 1:], [])) AS turns
+  FROM h LEFT JOIN c b ON b.conv_id = h.base
+),
+p AS (SELECT conv_id, len(turns) AS total, unnest(range(0, len(turns) + 1)) AS depth, turns FROM s),
+k AS (SELECT conv_id, total, CAST(depth AS BIGINT) AS depth, turns[1:depth] AS path, turns[1:depth - 1] AS up FROM p),
+n AS (
+  SELECT depth, path, min(conv_id) AS conv_id, CAST(count(*) AS BIGINT) AS n_convs, min(up) AS up,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = depth), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[depth].t, '[^\x20\x09-\x0D]+')) END AS saved,
+    max(total) = depth AS leaf
+  FROM k GROUP BY depth, path
+),
+kids AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY depth, up),
+below AS (
+  SELECT a.depth, a.path, sum(CASE WHEN b.leaf THEN 1 ELSE 0 END) AS leaves, sum(b.saved) AS saved
+  FROM (SELECT depth, path, saved, leaf, unnest(range(0, depth + 1)) AS above FROM n) b
+  JOIN n a ON a.depth = b.above AND a.path = b.path[1:b.above] GROUP BY a.depth, a.path
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN below ON below.depth = n.depth AND below.path = n.path
+LEFT JOIN kids ON kids.depth = n.depth AND kids.path = n.path
+LEFT JOIN n up ON up.depth = n.depth - 1 AND up.path = n.up
+"""

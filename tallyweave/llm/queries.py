@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, fingerprint, hostrules, jaccard, language, licences, linededup, mixing, packing, quality, whitening, wrappers
+from tallyweave.llm import bpe, fingerprint, hostrules, jaccard, language, licences, linededup, mixing, packing, quality, trie, whitening, wrappers
 from tallyweave.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op11_whitening(spark: SparkSession, directory: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, directory, "conversations"))
+
+
 @query
 def op13_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     found = bpe.recode(table(spark, directory, "documents").select("doc_id", "text"))

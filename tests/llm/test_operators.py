@@ -13,7 +13,7 @@ from tallyweave.llm import (
     components, fingerprint, hostrules, jaccard, language, licences, linededup, mixing, oracles, packing, quality, queries, wrappers,
 )
 
-TABLES = ("documents", "labels", "pages")
+TABLES = ("documents", "labels", "pages", "conversations")
 
 
 def rows(df, *columns):
