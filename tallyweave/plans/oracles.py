@@ -753,6 +753,10 @@ ORACLES["topk_merge"] = with_(EV, layered_updates(), heaps(by="cpu")) + f"""
 , summed AS (SELECT layer, deepest, {KEY}, CAST(sum(est) AS BIGINT) AS est FROM heap GROUP BY layer, deepest, {KEY})
 SELECT layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY est DESC, {KEY}) AS INTEGER) AS rank, est, {KEY}, deepest
 FROM summed QUALIFY rank <= 64"""
+ORACLES["topk_merge_exact"] = with_(EV, layered_updates(), heaps(by="cpu")) + f"""
+, summed AS (SELECT CAST(layer AS INTEGER) AS layer, deepest, {KEY}, CAST(sum(est) AS BIGINT) AS est FROM est WHERE est > 0 GROUP BY ALL)
+SELECT layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY est DESC, {KEY}) AS INTEGER) AS rank, est, {KEY}, deepest
+FROM summed QUALIFY rank <= 64"""
 ORACLES["sampled_layered"] = with_(
     EV, layered_updates(), sampled(0.5),
     gates((1234,), purpose="refresh"),

@@ -82,6 +82,88 @@ def test_keys_are_scanned_and_shuffled_once(skewed, spark, data_dir):
     assert "SortMergeJoin" not in final and "CartesianProduct" not in final and "NestedLoop" not in final
 
 
+@pytest.fixture(scope="module")
+def rare(spark):
+    """30,000 keys, most of them once; 40 of them 25 times each, so that their estimates tie or nearly do."""
+    i = F.col("id")
+    key = F.when(i < 29000, i).otherwise(29000 + i % 40)
+    return spark.range(30000, numPartitions=6).select(
+        (167772160 + key).alias("src_ip"), F.lit(184549377).cast("bigint").alias("dst_ip"), (key % 60000).cast("int").alias("src_port"),
+        F.lit(443).alias("dst_port"), F.lit(6).alias("proto"),
+    )
+
+
+@pytest.mark.parametrize("spec", [SPEC, SketchSpec(layers=5, heap_size=3), SketchSpec(layers=3, cols=8, heap_size=9), SketchSpec(heap_size=2000)])
+def test_pruned_lists_are_the_same(rare, skewed, spec):
+    for flows in (rare, skewed):
+        expected = layered.summarize(flows, spec)
+        found = layered.summarize_pruned(flows, spec)
+        assert sorted(found.collect()) == sorted(expected.select(*found.columns).collect())
+    assert layered.summarize_pruned(rare.limit(0), spec).count() == 0
+
+
+def test_floors_prune_and_never_reach_above_the_list(rare, spark):
+    """Equal estimates: a small summary gives most keys the same few values, and keys decide."""
+    spec = SketchSpec(layers=4, cols=16, heap_size=20)
+    nested = cells.nest_numbered(cells.number_cells(layered.build_layered(rare, spec), spec), spec)
+    ends = {r["layer"]: r for r in layered.summarize(rare, spec).where("rank = 20").collect()}
+    estimates = layered.estimates(rare.distinct(), nested, spec).collect()
+    assert len({r.est for r in estimates}) < len(estimates) / 10
+    for rate in (1, 16, 64):
+        for f in layered.floors(rare, nested, spec, rate).collect():
+            end = ends[f["_layer"]]
+            assert (f["floor"], [-x for x in f["floor_key"]]) <= (end.est, [-x for x in key_of(end)])
+            if rate == 1:
+                assert f["floor"] == end.est and tuple(f["floor_key"]) == key_of(end)
+    assert layered.sampling_rate(0, spec) == 1 and layered.sampling_rate(10**12, SPEC) > 10**4
+
+
+def test_pruned_lists_shuffle_only_what_reaches_the_floor(rare):
+    found = layered.summarize_pruned(rare, SPEC)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = final.splitlines()
+    # Nothing is exchanged between the scan and the filter on the floor but what is broadcast.
+    at = next(i for i, line in enumerate(lines) if "Filter" in line and "floor" in line)
+    deep = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    below = [line for line in lines[at + 1 :] if deep(line) > deep(lines[at])]
+    assert below and not any("Exchange hashpartitioning" in line or "SortMergeJoin" in line for line in below)
+    keys = rare.distinct().count()
+    survivors = layered.estimates(rare, cells.nest_numbered(cells.number_cells(layered.build_layered(rare, SPEC), SPEC), SPEC), SPEC)
+    floors = {r["_layer"]: r["floor"] for r in layered.floors(rare, cells.nest_numbered(cells.number_cells(layered.build_layered(rare, SPEC), SPEC), SPEC), SPEC, 16).collect()}
+    kept = survivors.where(F.col("est") >= F.element_at(F.create_map(*[F.lit(x) for p in floors.items() for x in p]), F.col("layer"))).distinct()
+    assert kept.where("layer = 0").count() < keys / 10
+
+
+def test_exact_merge_finds_keys_below_the_end_of_lists(spark):
+    """Key 1 leads one list and is below the top of the three others; key 2 is below the top everywhere and has the largest sum."""
+    spec = SketchSpec(keys=("key",), heap_size=2)
+    lists = {0: {1: 50, 3: 40, 2: 39}, 1: {4: 60, 5: 55, 2: 39, 1: 30}, 2: {6: 60, 7: 55, 2: 39, 1: 31}, 3: {8: 45, 9: 44, 2: 39, 1: 29}}
+    rows = [(cpu, 0, est, key, 0) for cpu, own in lists.items() for key, est in own.items()]
+    parts = spark.createDataFrame(rows, "cpu int, layer int, est long, key long, deepest int")
+    listed = topk.top_per_group(parts, ["cpu", "layer"], topk.heap_order(spec), 2, shard_on=spec.keys)
+    assert {r["key"] for r in topk.merge_heaps(listed, spec).collect()} == {4, 6}
+    found = topk.merge_exact(parts, spec, lists=("cpu",)).orderBy("rank").collect()
+    assert [(r["key"], r["est"]) for r in found] == [(2, 156), (1, 140)]
+    assert topk.merge_exact(parts.limit(0), spec, lists=("cpu",)).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 7, 200])
+def test_exact_merge_equals_the_sum_of_everything(spark, k, monkeypatch):
+    monkeypatch.setattr(topk, "BROADCAST_KEYS", 5)
+    spec = SketchSpec(keys=("key",), heap_size=k)
+    i = F.col("id")
+    rows = spark.range(9000).select(
+        (i % 5).alias("cpu"), (i % 3).cast("int").alias("layer"), F.when(i % 7 == 0, None).otherwise(F.floor(i / 40)).alias("key"),
+        (1 + F.pmod(F.xxhash64("id"), F.lit(30))).alias("n"), F.lit(2).alias("deepest"),
+    )
+    parts = rows.groupBy("cpu", "layer", "key", "deepest").agg(F.sum("n").alias("est"))
+    every = parts.groupBy("layer", "deepest", "key").agg(F.sum("est").alias("est"))
+    expected = topk.top_per_group(every, ["layer"], topk.heap_order(spec), k, shard_on=spec.keys)
+    found = topk.merge_exact(parts, spec, lists=("cpu",))
+    assert sorted(found.collect(), key=str) == sorted(expected.select(*found.columns).collect(), key=str)
+
+
 def test_merging_lists_adds_the_same_key(skewed, heap):
     parts = layered.summarize(skewed, SPEC, by=("cpu",), summaries=4)
     merged = topk.merge_heaps(parts, SPEC)
