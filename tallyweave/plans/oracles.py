@@ -820,6 +820,7 @@ ORACLES["stream_windowed_cells"] = with_(EV, updates()) + """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, CAST(0 AS INTEGER) AS layer, CAST(r AS INTEGER) AS "row",
        CAST(col AS INTEGER) AS col, CAST(sum(w) AS BIGINT) AS value
 FROM upd GROUP BY ALL"""
+ORACLES["stream_state_cells"] = ORACLES["stream_packets_cells"] = ORACLES["stream_cells"]
 ORACLES["stream_counters"] = with_(EV) + f"""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, {COUNTERS} FROM flows GROUP BY 1"""
 ORACLES["stream_redirect"] = with_(EV) + f"""

@@ -15,7 +15,7 @@ from tallyweave.sources import flows as flow_tables
 from tallyweave.sources import frames, schemas, stores
 from tallyweave.spec import DEFAULT_LAYER_SEED, DEFAULT_SEED, FLOW_KEY, SketchSpec
 from tallyweave.streaming import summaries
-from tallyweave.streaming.tables import VersionedTable
+from tallyweave.streaming.tables import FoldedTable, VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -679,9 +679,7 @@ STREAM_FILES = 64
 
 
 def _events(spark, d) -> DataFrame:
-    """The table as a stream. The pattern matches the table itself, be it one file or a folder of files."""
-    reader = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", STREAM_FILES)
-    return flow_tables.flows_from_events(reader.parquet(f"{d}/events.parquet*"))
+    return flow_tables.flows_from_events(flow_tables.stream_table(spark, d, "events", schemas.EVENTS, STREAM_FILES))
 
 
 def _event_stream(spark, d) -> DataFrame:
@@ -696,31 +694,49 @@ def stream_cells(spark, d):
     return table.latest()
 
 
+@query
+def stream_state_cells(spark, d):
+    """The cells of a stream from its state, as a reader sees them while the query runs."""
+    table, checkpoint = VersionedTable(spark, fresh_path(spark, "stream-cells")), fresh_path(spark, "checkpoint")
+    summaries.start_cells(_event_stream(spark, d), SPEC, table, checkpoint).awaitTermination()
+    return summaries.state_cells(spark, checkpoint, SPEC)
+
+
+@query
+def stream_packets_cells(spark, d):
+    """Frames that arrive as files, decoded and counted."""
+    path = fresh_path(spark, "packets")
+    frames.encode_frames(ev_counted(spark, d)).select(*schemas.PACKET.names).repartition(4).write.parquet(path)
+    flows = frames.decode_frames(frames.stream_packets(spark, path, files=1))
+    table = VersionedTable(spark, fresh_path(spark, "stream-cells"))
+    summaries.start_cells(flow_tables.counted(flows), SPEC, table, fresh_path(spark, "checkpoint")).awaitTermination()
+    return table.latest()
+
+
 @query
 def stream_windowed_cells(spark, d):
-    path = fresh_path(spark, "stream-windows")
-    run = summaries.start_windowed_cells(
-        _event_stream(spark, d), SPEC, path, fresh_path(spark, "checkpoint"), window="1 day", delay="1 hour"
-    )
+    """Windows that the watermark has passed are final and stored; the others come from the state."""
+    table, checkpoint = FoldedTable(spark, fresh_path(spark, "stream-windows")), fresh_path(spark, "checkpoint")
+    run = summaries.start_windowed_cells(_event_stream(spark, d), SPEC, table, checkpoint, window="1 day", delay="1 hour")
     run.awaitTermination()
-    stored = summaries.read_updates(spark, path, ["window", *cells.CELL])
-    return stored.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *cells.CELL, "value")
+    found = summaries.read_windowed_cells(spark, table, checkpoint, SPEC)
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *cells.CELL, "value")
 
 
 @query
 def stream_counters(spark, d):
-    path = fresh_path(spark, "stream-counters")
+    """Changed intervals of every micro-batch, folded to the last row of each."""
+    table = FoldedTable(spark, fresh_path(spark, "stream-counters"), keys=["window"])
     counters = summaries.interval_counters(_event_stream(spark, d), "1 hour", "1 hour")
-    summaries.start_updates(counters, path, fresh_path(spark, "checkpoint")).awaitTermination()
-    stored = summaries.read_updates(spark, path, ["window"])
-    return stored.select(F.col("window.start").cast("timestamp_ntz").alias("ts"), "packets", "bytes")
+    summaries.start_updates(counters, table, fresh_path(spark, "checkpoint")).awaitTermination()
+    return table.read().select(F.col("window.start").cast("timestamp_ntz").alias("ts"), "packets", "bytes")
 
 
 @query
 def stream_heavy_hitters(spark, d):
-    built = VersionedTable(spark, fresh_path(spark, "stream-layered"))
-    heap = VersionedTable(spark, fresh_path(spark, "stream-heap"))
-    run = summaries.start_heavy_hitters(_event_stream(spark, d), LAYERED, built, heap, fresh_path(spark, "checkpoint"))
+    built, heap, pool = (VersionedTable(spark, fresh_path(spark, f"stream-{n}")) for n in ("layered", "heap", "pool"))
+    checkpoint = fresh_path(spark, "checkpoint")
+    run = summaries.start_heavy_hitters(_event_stream(spark, d), LAYERED, built, heap, pool, checkpoint)
     run.awaitTermination()
     return heap.latest()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.sources import schemas as S
 
@@ -12,6 +13,18 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, directory: str, name: str, schema: StructType, files: int) -> DataFrame:
+    """A table as a stream of at most ``files`` files a micro-batch: those of its folder, or the table's one file.
+
+    A file can be streamed by a pattern only; the one made here matches no other name.
+    """
+    path = f"{directory}/{name}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        path = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def l4_verdict(proto: Column) -> Column:
     """Verdict of an IPv4 packet by its protocol: only TCP and UDP are counted."""
     return F.when(proto.isin(S.PROTO_TCP, S.PROTO_UDP), F.lit(S.COUNTED)).otherwise(F.lit(S.ERROR_DROP))
@@ -65,7 +78,7 @@ def flows_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def synthetic_packets(ordinals: DataFrame, ordinal: str = "id") -> DataFrame:
-    """Range traffic over a table of ordinals, batch or streaming.
+    """Range traffic over a table of ordinals.
 
     One source address, destinations and destination ports that step through
     their ranges with the ordinal, 64-byte UDP packets.
@@ -83,9 +96,3 @@ def synthetic_packets(ordinals: DataFrame, ordinal: str = "id") -> DataFrame:
         F.lit(64).alias("wire_len"),
         F.lit(S.COUNTED).alias("verdict"),
     )
-
-
-def synthetic_stream(spark: SparkSession, rows_per_second: int = 1000) -> DataFrame:
-    """The same pattern as an endless stream."""
-    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return synthetic_packets(rate, "value")

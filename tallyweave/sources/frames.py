@@ -18,8 +18,9 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.PACKET).parquet(path)
 
 
-def stream_packets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(S.PACKET).parquet(path)
+def stream_packets(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
+    """A folder of packet tables as a stream of at most so many files a micro-batch."""
+    return spark.readStream.schema(S.PACKET).option("maxFilesPerTrigger", files).parquet(path)
 
 
 #: No header field lies beyond this byte of a frame.

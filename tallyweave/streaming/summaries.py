@@ -7,19 +7,20 @@ cells as a batch job over the same rows. State is bounded by the number of cells
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyweave.functions.hashing import with_hashes
-from tallyweave.operators.cells import build, deepest_layer, fold, nest_numbered
+from tallyweave.operators.cells import build, deepest_layer, fold, nest_numbered, unnumber_cells
+from tallyweave.operators.frequent import keep_frequent
 from tallyweave.operators.layered import heavy_hitters
 from tallyweave.operators.rates import counter_aggregates
 from tallyweave.sources import schemas as S
 from tallyweave.spec import SketchSpec
-from tallyweave.streaming.tables import VersionedTable
+from tallyweave.streaming.tables import FoldedTable, VersionedTable
 
 
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -53,7 +54,7 @@ def windowed_cells(
 def start_windowed_cells(
     stream: DataFrame,
     spec: SketchSpec,
-    path: str,
+    table: FoldedTable,
     checkpoint: str,
     *,
     window: str,
@@ -61,28 +62,46 @@ def start_windowed_cells(
     signed: bool = False,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append the updated cells of every micro-batch below ``path``; see :func:`read_updates`."""
-    cells = windowed_cells(stream, spec, window, delay, signed=signed)
-    return start_updates(cells, path, checkpoint, trigger=trigger)
+    """Add the cells of every window to ``table`` once the watermark has passed it; see :func:`read_windowed_cells`."""
+    return start_final(windowed_cells(stream, spec, window, delay, signed=signed), table, checkpoint, trigger=trigger)
 
 
-def start_updates(
-    result: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None
-) -> StreamingQuery:
-    """Store the changed rows of a streaming aggregate, one folder per micro-batch."""
+def start_final(result: DataFrame, table: FoldedTable, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Store rows of a streaming aggregate when they are final; open windows are only in the state."""
+    return _start(result.writeStream.outputMode("append").foreachBatch(table.write), checkpoint, trigger)
+
+
+def start_updates(result: DataFrame, table: FoldedTable, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Store the changed rows of a streaming aggregate; ``table`` keeps the last row of every key."""
+    return _start(result.writeStream.outputMode("update").foreachBatch(table.write), checkpoint, trigger)
+
+
+def committed_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The last micro-batch whose state can be read."""
+    return spark.read.format("state-metadata").load(checkpoint).agg(F.max("maxBatchId")).first()[0]
 
-    def store(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    return _start(result.writeStream.outputMode("update").foreachBatch(store), checkpoint, trigger)
+def read_state(spark: SparkSession, checkpoint: str, values: Sequence[str], *, batch: int | None = None) -> DataFrame:
+    """Groups of the streaming aggregate of a checkpoint, and their sums under the names ``values``, as the last
+    committed micro-batch (or ``batch``) left them. The query may be running: it is neither stopped nor asked."""
+    reader = spark.read.format("statestore")
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    state = reader.load(checkpoint)
+    sums = [F.col(f"value.{f.name}").alias(name) for f, name in zip(state.schema["value"].dataType, values, strict=True)]
+    return state.select("key.*", *sums)
 
 
-def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last stored value of every key."""
-    stored = spark.read.parquet(path)
-    values = [c for c in stored.columns if c not in (*keys, "batch")]
-    last = F.max_by(F.struct(*values), "batch")
-    return stored.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+def state_cells(spark: SparkSession, checkpoint: str, spec: SketchSpec) -> DataFrame:
+    """Current cells of a summary that :func:`start_cells` is building."""
+    return unnumber_cells(read_state(spark, checkpoint, ["value"]), spec)
+
+
+def read_windowed_cells(spark: SparkSession, table: FoldedTable, checkpoint: str, spec: SketchSpec) -> DataFrame:
+    """Cells of all windows as of one micro-batch: final ones from the table, open ones from the state."""
+    batch = committed_batch(spark, checkpoint)
+    still_open = unnumber_cells(read_state(spark, checkpoint, ["value"], batch=batch), spec, ("window",))
+    return table.read(batch).unionByName(still_open)
 
 
 def interval_counters(stream: DataFrame, interval: str = "1 second", delay: str = "10 seconds") -> DataFrame:
@@ -96,32 +115,40 @@ def start_heavy_hitters(
     spec: SketchSpec,
     cells: VersionedTable,
     heap: VersionedTable,
+    pool: VersionedTable,
     checkpoint: str,
     *,
+    pool_size: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep cells and the heavy-hitter list of every layer current.
 
-    Candidates of a micro-batch are its own keys and the listed ones; their
-    estimates come from the merged cells, stored in numbered form. ``heap`` is
-    rewritten after ``cells``.
+    Candidates are the keys of ``pool``, which keeps frequent keys of every layer in bounded space, and the listed ones:
+    a key that makes up more than 1 / (``pool_size`` + 1) of the packets of a layer is always among them, whenever it came. Their
+    estimates come from the merged cells, stored in numbered form. ``heap`` is rewritten last. A micro-batch is read
+    once, to count its keys.
     """
-    spark = stream.sparkSession
+    size = pool_size or 16 * spec.heap_size
 
     def update(df: DataFrame, batch: int) -> None:
-        counts = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"))
-        hashed = with_hashes(counts, spec, layer_hash=True)
-        added = fold(
-            hashed, spec, [F.col("n")] * spec.rows, signed=True, layer=deepest_layer(F.col("_hl"), spec)
-        )
-        candidates = counts.select(*spec.keys)
+        counts = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n")).persist()
+        try:
+            hashed = with_hashes(counts, spec, layer_hash=True).withColumn("deepest", deepest_layer(F.col("_hl"), spec))
+            added = fold(hashed, spec, [F.col("n")] * spec.rows, signed=True, layer=F.col("deepest"))
+            in_layers = hashed.select(F.explode(F.sequence(F.lit(0), "deepest")).alias("layer"), *spec.keys, "n")
+            if batch > 0:
+                both = added.unionByName(cells.read(batch - 1))
+                added = both.groupBy("cell").agg(F.sum("value").alias("value"))
+                in_layers = in_layers.unionByName(pool.read(batch - 1))
+            cells.write(added, batch)
+            pool.write(keep_frequent(in_layers, spec.keys, size, by=("layer",)), batch)
+        finally:
+            counts.unpersist()
+        candidates = pool.read(batch).select(*spec.keys)
         if batch > 0:
-            both = added.unionByName(cells.read(batch - 1))
-            added = both.groupBy("cell").agg(F.sum("value").alias("value"))
-            candidates = candidates.unionByName(heap.read(batch - 1).select(*spec.keys)).distinct()
-        cells.write(added, batch)
+            candidates = candidates.unionByName(heap.read(batch - 1).select(*spec.keys))
         current = nest_numbered(cells.read(batch), spec)
-        heap.write(heavy_hitters(candidates, current, spec), batch)
+        heap.write(heavy_hitters(candidates.distinct(), current, spec), batch)
 
     return _start(stream.writeStream.foreachBatch(update), checkpoint, trigger)
 
