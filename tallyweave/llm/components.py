@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round an id takes the smallest label among its own and its neighbours', then the label of that label. Rounds grow
     with the logarithm of the longest chain in practice; every round is written, so a lost executor costs one round.
-    Minima are combined map-side and joins are left to Spark, which may split the partition of an id with many links.
+    Minima are combined map-side. Joins are merge joins, so that no table of labels goes through the driver; Spark may split the
+    partition of an id with many links.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct()
     both = stored(both, "links")
@@ -21,11 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")), "labels"
     )
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("id") == F.col("u")).select("id", "label", F.least("label", "near").alias("low"))
+        near = both.join(labels.hint("merge"), F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
+        lower = labels.join(near.hint("merge"), F.col("id") == F.col("u")).select("id", "label", F.least("label", "near").alias("low"))
         lower = stored(lower, "labels")
         of = lower.select(F.col("id").alias("of"), F.col("low").alias("beyond"))
-        jumped = lower.join(of, F.col("low") == F.col("of")).select(
+        jumped = lower.join(of.hint("merge"), F.col("low") == F.col("of")).select(
             "id", F.least("low", "beyond").alias("label"), (F.least("low", "beyond") != F.col("label")).alias("changed")
         )
         jumped = stored(jumped, "labels")

@@ -29,11 +29,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.llm import textcols
 from tallyweave.llm.components import components
@@ -56,7 +58,7 @@ class Join:
     small: int = 64
     side: int = 1024
     scouts: int = 8
-    broadcast_rows: int = 500_000
+    broadcast_rows: int = 100_000
 
     def least(self, n: np.ndarray) -> np.ndarray:
         """Overlap that a set of size n needs with any partner."""
@@ -217,7 +219,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
 
 
 def described(docs: DataFrame, join: Join, hot: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, d1 and d2 (digest), bitmap and prefix of every document."""
+    """doc_id, n, d1 and d2 (digest), bitmap and prefix of every document, stored."""
     ids = docs.schema["doc_id"].dataType.simpleString()
     known = docs.sparkSession.sparkContext.broadcast((hot, classes))
     names = ["doc_id", "n", "d1", "d2", "bitmap", "prefix"]
@@ -247,7 +249,9 @@ def described(docs: DataFrame, join: Join, hot: np.ndarray, classes: np.ndarray)
         )
 
     schema = f"doc_id {ids}, n bigint, d1 bigint, d2 bigint, bitmap binary, prefix array<bigint>"
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+    found = stored(map_arrow(docs.select("doc_id", "text"), run, schema), "sets")
+    known.destroy()  # what comes later starts from the files
+    return found
 
 
 def _marked(df: DataFrame, rows: int, join: Join) -> DataFrame:
@@ -362,66 +366,77 @@ def small_group_pairs(rows: DataFrame, join: Join, kind: str) -> DataFrame:
 
 
 def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataFrame:
-    """Candidate pairs of large groups. Rows that are ``apart`` meet all rows,
-    in tiles of at most about ``side`` rows a side; sizes order the rows, so tiles out of reach are empty."""
+    """Candidate pairs of large groups. Rows that are ``apart`` meet all rows of their groups.
+
+    The groups of one center have much the same documents, as near copies share most of their tokens. So a document goes to
+    the tiles of a center once, with one bitmap and the list of its tokens there. Tiles hold at most about ``side`` rows
+    a side; sizes order the rows, so tiles out of reach are empty."""
     maps = sets.select(F.col("doc_id").alias("m_id"), "bitmap")
-    rows = rows.join(maps, F.col("doc_id") == F.col("m_id")).drop("m_id")
+    rows = rows.groupBy("center", "doc_id", "n", "component").agg(
+        F.collect_list(F.struct("token", "place", "apart")).alias("tokens"), F.max("apart").alias("looks")
+    )
     # Size bands: two sizes whose ratio allows a link lie in one band or in neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / join.percent))).cast("int")
-    rows = rows.withColumn("band", band)
-    per = rows.groupBy("token", "band").agg(
-        F.count("*").alias("rows"), F.sum(F.col("apart").cast("bigint")).alias("outside")
-    )
-    blocks = per.select(
-        F.col("token").alias("t"), F.col("band").alias("band_all"),
-        F.ceil(F.col("rows") / join.side).cast("int").alias("blocks"), F.ceil(F.col("outside") / join.side).cast("int").alias("outer"),
+    rows = stored(rows.withColumn("band", band), "tiles")
+    per = rows.groupBy("center", "band").agg(
+        F.count("*").alias("rows"), F.sum(F.col("looks").cast("bigint")).alias("outside")
     )
+    blocks = stored(
+        per.select(
+            F.col("center").alias("t"), F.col("band").alias("band_all"),
+            F.ceil(F.col("rows") / join.side).cast("int").alias("blocks"), F.ceil(F.col("outside") / join.side).cast("int").alias("outer"),
+        ),
+        "blocks",
+    )
+    rows = rows.join(maps, F.col("doc_id") == F.col("m_id")).drop("m_id")
     # A row that stands apart looks at its own band and both neighbours; every row is looked at from the same three.
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     hashed = F.xxhash64("doc_id")
 
-    def joined(side: DataFrame, key: str) -> DataFrame:
-        return side.join(blocks, (F.col("token") == F.col("t")) & (F.col(key) == F.col("band_all"))).drop("t", "band_all")
-
-    cols = ["token", "center", "doc_id", "n", "place", "component", "bitmap"]
-    looking = joined(rows.where("apart").withColumn("over", near), "over").select(
-        *cols, F.lit(1).alias("looks"), F.col("band").alias("from"), "over", F.col("blocks").alias("copies"),
-    )
-    own = blocks.select(F.col("t"), F.col("band_all"), F.col("outer").alias("own_outer"))
-    looking = looking.join(own, (F.col("token") == F.col("t")) & (F.col("from") == F.col("band_all"))).drop("t", "band_all")
-    looking = looking.select(
-        *cols, "looks", "from", "over", F.pmod(hashed, F.col("own_outer")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("j"),
-    )
-    seen = rows.withColumn("from", near).join(
-        own.select(F.col("t"), F.col("band_all"), F.col("own_outer")), (F.col("token") == F.col("t")) & (F.col("from") == F.col("band_all"))
-    ).where("own_outer > 0").drop("t", "band_all")
-    seen = joined(seen.withColumn("over", F.col("band")), "over")
-    seen = seen.select(
-        *cols, F.lit(0).alias("looks"), "from", "over",
-        F.explode(F.sequence(F.lit(0), F.col("own_outer") - 1)).alias("i"),
-        F.pmod(hashed, F.col("blocks")).cast("int").alias("j"),
-    )
-    # Groups of one center have much the same rows, so their tiles go together and a pair leaves them once.
-    tile_key = ["center", "from", "over", "i", "j"]
-    key = [*tile_key, "token"]
-    tiles = looking.select(*key, *cols[2:], "looks").union(seen.select(*key, *cols[2:], "looks"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        at: dict = {}  # the tile of a center, and the pairs sent from it
-
-        def tile(t: pa.Table) -> pa.RecordBatch:
-            looks = np.asarray(t["looks"]) == 1
-            n, place, comp = (np.asarray(t[k]) for k in ("n", "place", "component"))
-            words = [np.frombuffer(b.as_py(), np.uint64) for b in t["bitmap"]]
+    def beside(side: DataFrame, key: str, *found: str) -> DataFrame:
+        wanted = blocks.select("t", "band_all", *found)
+        return side.join(wanted, (F.col("center") == F.col("t")) & (F.col(key) == F.col("band_all"))).drop("t", "band_all")
+
+    cols = ["doc_id", "n", "component", "tokens", "bitmap"]
+    looking = beside(rows.where("looks").withColumn("over", near), "over", "blocks")
+    looking = beside(looking.withColumn("from", F.col("band")), "from", "outer").select(
+        "center", "from", "over", F.pmod(hashed, F.col("outer")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), *cols, F.lit(1).alias("looking"),
+    )
+    seen = beside(rows.withColumn("from", near), "from", "outer").where("outer > 0")
+    seen = beside(seen.withColumn("over", F.col("band")), "over", "blocks").select(
+        "center", "from", "over", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"),
+        F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), *cols, F.lit(0).alias("looking"),
+    )
+    key = ["center", "from", "over", "i", "j"]
+    tiles = looking.union(seen)
+
+    def tile(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        looks = np.asarray(t["looking"]) == 1
+        n, comp = np.asarray(t["n"]), np.asarray(t["component"])
+        ids, lists, maps = (t[k].chunk(0) for k in ("doc_id", "tokens", "bitmap"))
+        left, right = [EMPTY.astype(np.int64)], [EMPTY.astype(np.int64)]
+        if looks.any() and not looks.all():
+            words = [np.frombuffer(b.as_py(), np.uint64) for b in maps]
             size = min(map(len, words))
             bits = np.stack([folded(w, size) for w in words])
-            ids = t["doc_id"].combine_chunks()
-            others = np.flatnonzero(~looks)
-            left, right = [], []
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            row, entries = np.repeat(np.arange(len(ids)), np.diff(ends)), lists.flatten()
+            token, place = (np.asarray(entries.field(k)) for k in (0, 1))
+            apart = np.asarray(entries.field(2).cast(pa.int8())) == 1
+            shown = np.flatnonzero(~looks[row])
+            shown = shown[np.argsort(token[shown], kind="stable")]
+            sorted_tokens = token[shown]
             for i in np.flatnonzero(looks):
-                j = others[(comp[others] != comp[i]) & _fits(join, n[others], n[i], place[others], place[i])]
+                own = np.arange(ends[i], ends[i + 1])
+                own = own[apart[own]]
+                starts = np.searchsorted(sorted_tokens, token[own])
+                counts = np.searchsorted(sorted_tokens, token[own], side="right") - starts
+                mine = np.repeat(own, counts)
+                theirs = shown[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+                j = row[theirs]
+                j = np.unique(j[(comp[j] != comp[i]) & _fits(join, n[j], n[i], place[theirs], place[mine])])
                 if not len(j):
                     continue
                 most = np.minimum(
@@ -431,35 +446,30 @@ def tile_pairs(rows: DataFrame, sets: DataFrame, join: Join, kind: str) -> DataF
                 j = j[join.reached(most, n[i], n[j])]
                 left.append(np.full(len(j), i))
                 right.append(j)
-            i = np.concatenate(left) if left else np.zeros(0, int)
-            j = np.concatenate(right) if right else np.zeros(0, int)
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            now = tuple(t[k][0].as_py() for k in tile_key)
-            if now != at.get("tile"):
-                at["tile"], at["sent"] = now, set()
-            new = set(zip(ids.take(pa.array(i)).to_pylist(), ids.take(pa.array(j)).to_pylist())) - at["sent"]
-            at["sent"] |= new
-            found = list(new)
-            columns = [pa.array([p[k] for p in found], t.schema.field("doc_id").type) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
-
-        def same_tile(t: pa.Table) -> np.ndarray:
-            keys = [np.asarray(t[k]) for k in key]
-            return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        columns = [ids.take(pa.array(np.concatenate(x))) for x in (left, right)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows of the last tile met
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            cuts = [0, *same_tile(t)]
+            keys = [np.asarray(t[k]) for k in key]
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1), len(t)]
+            goes_on = bool(held) and all(held[-1][k][-1] == t[k][0] for k in key)
+            if held and not goes_on:
+                yield tile(pa.concat_tables(held))
+                held = []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                yield tile(t.slice(a, b - a))
-            rest = t.slice(cuts[-1])
-        if rest is not None:
-            yield tile(rest)
-
-    found = map_batches(tiles.repartition(*tile_key).sortWithinPartitions(*key), run, f"a {kind}, b {kind}")
+                held.append(t.slice(a, b - a))
+                if b < len(t):
+                    yield tile(pa.concat_tables(held))
+                    held = []
+        if held:
+            yield tile(pa.concat_tables(held))
+
+    found = map_batches(tiles.repartition(*key).sortWithinPartitions(*key), run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -525,7 +535,7 @@ def links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         pairs = tile_pairs(large, sets, join, kind).where("a <> b").distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "scouted")
         more = verified(pairs, sets, docs, join)
-        found, tried = found.union(more), tried.union(pairs)
+        found, tried = stored(found.union(more), "found"), stored(tried.union(pairs), "tried")
         large = large.withColumn("met", F.col("met") | F.col("apart")).drop("apart")
         large = _joined(large, more, "unsettled")
         now = labels()
@@ -543,23 +553,29 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select("doc_id", "text")
     hot, classes = frequent(docs, join)
-    sets = stored(described(docs, join, hot, classes), "sets")
+    sets = described(docs, join, hot, classes)
     groups = components(links(docs, sets, join)).select(F.col("id").alias("c_id"), "component")
     found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(groups, F.col("doc_id") == F.col("c_id"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id. Of rows with one id one stays; rows without an
-    id all stay."""
-    found = stored(near_copies(docs, join), "near-copies")
+    """``docs`` with one document of each group: that of the smallest id. Where ids repeat or are missing, the id and a digest of
+    the text name a document (no id comes last): different texts under one id are documents of their own, equal texts under one id
+    are one, and equal texts without an id are copies like any others (without words they link with nothing, and stay)."""
+    key, kind = F.col("doc_id"), docs.schema["doc_id"].dataType
+    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() > 0
+    if odd:
+        order = F.lpad((key.cast("decimal(38,0)") + F.lit(Decimal(2**63))).cast("string"), 20, "0") if isinstance(kind, T.IntegralType) else key.cast("string")
+        digest = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)
+        key = F.concat(F.coalesce(F.concat(F.lit("0"), order), F.lit("1")), F.lit(":"), digest)
+    found = near_copies(docs.select(key.alias("doc_id"), "text"), join)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
-    kept = docs.join(_marked(gone, gone.count(), join), F.col("doc_id") == F.col("g_id"), "left_anti")
-    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("g_id")).count().where("count > 1")
-    again = stored(again.select("g_id"), "again")
-    n = again.count()
-    if not n:
+    kept = docs.join(_marked(gone, gone.count(), join), key == F.col("g_id"), "left_anti")
+    if not odd:
         return kept
-    met = F.col("doc_id") == F.col("g_id")
-    single = kept.join(_marked(again, n, join), met, "left_anti")
-    return single.unionByName(kept.join(_marked(again, n, join), met, "left_semi").dropDuplicates(["doc_id"]))
+    others = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(others))
+    has_words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    single = kept.where(has_words | F.col("doc_id").isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
+    return single.unionByName(kept.where(~has_words & F.col("doc_id").isNull()))
