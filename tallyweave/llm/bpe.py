@@ -24,7 +24,6 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -143,6 +142,8 @@ class Coder:
     """Encodes and decodes with one vocabulary, in one process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import duckdb  # in the workers only: the driver needs none
+
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the single bytes {missing}")
