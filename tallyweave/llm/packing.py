@@ -16,6 +16,7 @@ separate documents; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -39,11 +40,20 @@ KEPT_WORDS = 200_000
 STRETCH = 1 << 20
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """(vocabulary as ranks, split pattern) of the default tokenizer; the ids are those of byte_bpe_50k.json."""
+def tokenizer_files() -> tuple[str, str, str]:
+    """(vocabulary as ranks, split pattern, tokenizer file with the added tokens) of the default tokenizer."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that are one id wherever they stand in a text, and are looked for before it is split into words."""
+    with open(path, "rb") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that take in what stands around them are not known here")
+    return {t["content"]: t["id"] for t in found}
 
 
 @cache
@@ -79,12 +89,12 @@ def _known(path: str, pattern: str) -> _Known:
 _LOOSE = re.compile(r"\s (?:\s|\Z)|  ")
 
 
-def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
-    """Text to the bytes of its ids. The pattern never joins what a single space divides, and takes that space
+def encoder(path: str, pattern: str, added: dict[str, int]) -> Callable[[str], bytes]:
+    """Text to the bytes of its ids. Added tokens divide a text, and what is between them is encoded on its own. The pattern never joins what a single space divides, and takes that space
     with the word after it; so texts are encoded word by word and known words are looked up."""
     known, whole = _known(path, pattern), _encoding(path, pattern).encode_ordinary
 
-    def encode(text: str) -> bytes:
+    def between(text: str) -> bytes:
         if _LOOSE.search(text):
             return array("I", whole(text)).tobytes()
         if len(text) <= STRETCH:
@@ -99,6 +109,18 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
             start = stop
         return b"".join(parts)
 
+    if not added:
+        return between
+    special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+    ids = {content: array("I", [i]).tobytes() for content, i in added.items()}
+
+    def encode(text: str) -> bytes:
+        parts, start = [], 0
+        for met in special.finditer(text):
+            parts += [between(text[start : met.start()]), ids[met[0]]]
+            start = met.end()
+        return b"".join([*parts, between(text[start:])]) if start else between(text)
+
     return encode
 
 
@@ -112,14 +134,15 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
         start, stop, piece = stop, stop + step, piece + 1
 
 
-def pieces(docs: DataFrame, capacity: int, files: tuple[str, str] | None = None, closing: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, files: tuple[str, str, str] | None = None, closing: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
-    path, pattern = files or tokenizer_files()
+    path, pattern, tokenizer = files or tokenizer_files()
+    added = added_tokens(tokenizer)
     end = array("I", [closing]).tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, added)
         rows, found = [], []
         for i, text in enumerate(batch.column(1)):
             for piece in cut(encode(text.as_py() or "") + end, capacity):
@@ -236,7 +259,7 @@ def ranked(cut_up: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, capacity: int = 2048, files: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, files: tuple[str, str, str] | None = None) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
     cut_up = stored(pieces(docs, capacity, files), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)

@@ -75,6 +75,20 @@ def test_jaccard_against_all_pairs(spark):
         assert found == sorted(((i, len(s), root(i)) for i, s in enumerate(sets)), key=repr)
 
 
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join(["x", *words[1:]]), " ".join(f"v{i}" for i in range(60))
+    rows = [
+        (1, text, "a"), (1, other, "b"), (1, other, "b"), (2, near, "c"), (None, text, "d"), (None, "", "e"), (None, "", "f"),
+        (None, "lonely words", "g"), (None, "lonely words", "h"), (3, None, "i"), (3, None, "i"), (-5, other + " end", "j"),
+    ]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None and r["text"])
+    assert found == [(-5, other + " end"), (1, text)]
+    assert kept.where("doc_id = 3").count() == 1
+    assert sorted(r["text"] for r in kept.where("doc_id is null").collect()) == ["", "", "lonely words"]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(3, 3)], "a long, b long")
     found = {r["id"]: r["component"] for r in components.components(links).collect()}
@@ -214,10 +228,13 @@ def test_packing_is_exact(spark, data_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text")
+    end = "<|endoftext|>"
+    odd = [end, f"x {end} y", f"{end}{end} a{end}b  {end}\n\n", f"a <|endoftext| {end}>", ("word " * 9 + end) * 900, f"  {end}  "]
+    docs = docs.union(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     found = packing.pack(docs).toPandas()
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode(odd[0], add_special_tokens=False).ids == [50256]
     for r in docs.collect():
         ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
         mine = found[found.doc_id == r["doc_id"]].sort_values("piece")
@@ -230,10 +247,14 @@ def test_packing_is_exact(spark, data_dir):
 
 
 @pytest.mark.parametrize("text", ["a  b", " a \n b", "a\n \nb ", "x\t y z", "don't  stop", "  ", "a b\n"])
-def test_word_by_word_encoding(text):
-    files = packing.tokenizer_files()
-    whole = np.array(packing._encoding(*files).encode_ordinary(text), "<u4").tobytes()
-    assert packing.encoder(*files)(text) == whole
+def test_word_by_word_encoding(text, monkeypatch):
+    from tokenizers import Tokenizer
+
+    ranks, pattern, file = packing.tokenizer_files()
+    tokenizer, encode = Tokenizer.from_file(file), packing.encoder(ranks, pattern, packing.added_tokens(file))
+    monkeypatch.setattr(packing, "STRETCH", 4)
+    for whole in (text, f"{text}<|endoftext|>{text}", f"<|endoftext|>{text} <|endoftext|>", f"{text}<|endoftext"):
+        assert encode(whole) == np.array(tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_plan_uses_all_pieces():
