@@ -110,7 +110,8 @@ def xxhash32(keys: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> U32(16))
 
 
-def xxhash64(keys: np.ndarray, seed: int) -> np.ndarray:
+def xxhash64(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """Keys of less than 32 bytes may have a seed each."""
     p1, p2, p3, p4, p5 = XX64
     n, length = keys.shape
 
@@ -124,7 +125,7 @@ def xxhash64(keys: np.ndarray, seed: int) -> np.ndarray:
         for lane in lanes:
             h = (h ^ scramble(lane)) * p1 + p4
     else:
-        h = np.full(n, _wrap_sum(U64, seed, p5), U64)
+        h = seed + p5 if isinstance(seed, np.ndarray) else np.full(n, _wrap_sum(U64, seed, p5), U64)
     h = h + _wrap_sum(U64, length)
     for word in words:
         h = _rotl(h ^ scramble(word), 27) * p1 + p4

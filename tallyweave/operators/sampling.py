@@ -6,12 +6,16 @@ sampled however the input is partitioned or retried.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions import numeric
+from tallyweave.functions import kernels, numeric
 from tallyweave.functions.bits import U32_MASK
 from tallyweave.functions.hashing import md5_u32, with_hashes
 from tallyweave.operators.cells import count_keys, deepest_layer, fold, unnumber_cells
@@ -100,52 +104,83 @@ def build_from_counts(counts: DataFrame, spec: SketchSpec, *, layered: bool = Fa
 BLOCK_PACKETS = 64
 
 
-def geometric_gaps(blocks: DataFrame, spec: SketchSpec, block: str = "block") -> DataFrame:
-    """Draws ``(block, idx, gap)`` of the distance to the next sampled slot.
+def _numbers(values: np.ndarray, width: int) -> np.ndarray:
+    """Whole numbers as rows of little-endian bytes."""
+    return values.astype(f"<i{width}").view(np.uint8).reshape(-1, width)
 
-    A block has ``BLOCK_PACKETS * rows`` slots. Gaps are at least 1, so as many
-    draws as slots always reach its end. The geometric law has no memory, hence a
-    walk that restarts in every block samples the same way as an endless one.
-    """
-    slots = BLOCK_PACKETS * spec.rows
-    indexed = blocks.select(block, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("idx"))
+
+def gap_draws(blocks: np.ndarray, idx: int, spec: SketchSpec) -> np.ndarray:
+    """Uniform 32-bit values, the ``idx``-th of every block: the upper half of Spark's ``xxhash64('gap', seed, block, idx)``."""
     if spec.family in ("md5", "md5_rows"):
-        draw = md5_u32("gap", spec.sample_seed, F.col(block), F.col("idx"))[0]
-    else:
-        draw = F.shiftrightunsigned(
-            F.xxhash64(F.lit("gap"), F.lit(spec.sample_seed), F.col(block), F.col("idx")), 32
-        )
-    return indexed.withColumn("gap", numeric.geometric(numeric.uniform_open(draw), spec.p))
-
-
-def geometric_slots(gaps: DataFrame, spec: SketchSpec, block: str = "block") -> DataFrame:
-    """Sampled slots ``(ordinal, row)`` by running sums of gaps inside each block."""
-    walk = Window.partitionBy(block).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    position = F.sum("gap").over(walk) - 1
+        texts = (f"gap|{spec.sample_seed}|{block}|{idx}" for block in blocks.tolist())
+        return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts], np.uint64)
+    start = kernels.xxhash64(np.frombuffer(b"gap", np.uint8)[None], 42)
+    start = kernels.xxhash64(_numbers(np.array([spec.sample_seed]), 4), start)
+    found = kernels.xxhash64(_numbers(blocks, 8), np.repeat(start, len(blocks)))
+    return kernels.xxhash64(_numbers(np.full(len(blocks), idx), 4), found) >> np.uint64(32)
+
+
+def walk(blocks: np.ndarray, spec: SketchSpec) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``blocks``, slots) that geometric walks visit, each from before the first slot of its block to its end.
+
+    A block has ``BLOCK_PACKETS * rows`` slots and gaps are at least 1. A block draws until it has reached its end, so the
+    draws grow with p. The geometric law has no memory, hence a walk that restarts in every block
+    samples the same way as an endless one, and any task can walk a block by itself.
+    """
     slots = BLOCK_PACKETS * spec.rows
-    return (
-        gaps.withColumn("_at", position)
-        .filter(F.col("_at") < slots)
-        .select(
-            (F.col(block) * BLOCK_PACKETS + F.floor(F.col("_at") / spec.rows)).alias("ordinal"),
-            F.pmod(F.col("_at"), F.lit(spec.rows)).cast("int").alias("row"),
-        )
+    going, at = np.arange(len(blocks)), np.full(len(blocks), -1, np.int64)
+    found, visited = [going[:0]], [at[:0]]
+    idx = 0
+    while len(going):
+        if spec.p < 1.0:
+            uniform = (gap_draws(blocks[going], idx, spec) + 0.5) / 4294967296.0
+            at = at + np.maximum(np.ceil(np.log(uniform) / math.log(1.0 - spec.p)), 1).astype(np.int64)
+        else:
+            at = at + 1
+        going, at = going[at < slots], at[at < slots]
+        found.append(going)
+        visited.append(at)
+        idx += 1
+    return np.concatenate(found), np.concatenate(visited)
+
+
+def geometric_slots(blocks: DataFrame, spec: SketchSpec, block: str = "block") -> DataFrame:
+    """Sampled slots ``(ordinal, row)`` of every block."""
+
+    @F.arrow_udf("array<int>")
+    def visited(column: pa.Array) -> pa.Array:
+        place, slot = walk(np.asarray(column), spec)
+        order = np.lexsort((slot, place))
+        ends = np.searchsorted(place[order], np.arange(len(column) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slot[order], pa.int32()))
+
+    found = blocks.where(F.col(block).isNotNull()).select(block, F.explode(visited(block)).alias("_at"))
+    return found.select(
+        (F.col(block) * BLOCK_PACKETS + F.floor(F.col("_at") / spec.rows)).alias("ordinal"),
+        F.pmod(F.col("_at"), F.lit(spec.rows)).cast("int").alias("row"),
     )
 
 
 def with_geometric_gates(packets: DataFrame, spec: SketchSpec, packet_id: str) -> DataFrame:
     """Gates as in :func:`with_gates`, drawn by geometric skipping over packet ids.
 
-    The slots of a packet are gathered into one row and joined on its id. Hash
-    gates need no join and are the form to prefer on large tables.
+    Each record batch walks the blocks its packets are in; only ids go to Python, nothing is shuffled or joined. Packets that lie in
+    the order of their ids share their walks. A packet without an id is not sampled.
     """
-    blocks = packets.select(F.floor(F.col(packet_id) / BLOCK_PACKETS).alias("block")).distinct()
-    slots = geometric_slots(geometric_gaps(blocks, spec), spec)
-    per_packet = slots.groupBy("ordinal").agg(
-        *[F.max((F.col("row") == r).cast("int")).alias(g) for r, g in enumerate(gate_columns(spec))]
-    )
-    joined = packets.join(per_packet, packets[packet_id] == per_packet["ordinal"], "left").drop("ordinal")
-    return joined.fillna(0, gate_columns(spec))
+
+    @F.arrow_udf("int")
+    def rows_hit(ids: pa.Array) -> pa.Array:
+        known = np.asarray(ids.is_valid())
+        numbers = np.asarray(ids.fill_null(0).cast(pa.int64()))
+        blocks, of = np.unique(numbers // BLOCK_PACKETS, return_inverse=True)
+        place, slot = walk(blocks, spec)
+        marks = np.zeros((len(blocks), BLOCK_PACKETS), np.int32)
+        np.bitwise_or.at(marks, (place, slot // spec.rows), np.int32(1) << (slot % spec.rows).astype(np.int32))
+        return pa.array(np.where(known, marks[of, numbers % BLOCK_PACKETS], 0), pa.int32())
+
+    marked = packets.withColumn("_hit", rows_hit(F.col(packet_id).cast("bigint")))
+    gates = {g: F.shiftright("_hit", r).bitwiseAND(F.lit(1)) for r, g in enumerate(gate_columns(spec))}
+    return marked.withColumns(gates).drop("_hit")
 
 
 def build_geometric(packets: DataFrame, spec: SketchSpec, packet_id: str) -> DataFrame:

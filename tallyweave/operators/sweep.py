@@ -19,6 +19,7 @@ from tallyweave.functions.hashing import hash_columns, with_hashes
 from tallyweave.operators.cells import cell_id, count_keys
 from tallyweave.operators.estimate import BROADCAST_CELLS
 from tallyweave.operators.sampling import gate_draws
+from tallyweave.session import stored
 from tallyweave.spec import SketchSpec
 
 # The grid of the published experiments.
@@ -43,10 +44,10 @@ def _first_admitting(draw: str, ps: Sequence[float]) -> Column:
 def sweep_cells(
     packets: DataFrame, spec: SketchSpec, packet_id: str, ps: Sequence[float], seeds: Sequence[int]
 ) -> DataFrame:
-    """Cells ``(cell, value)`` of all runs, numbered one run after the other.
+    """``(cell, values)``: for every cell of a summary its value in all runs, run ``seed number * len(ps) + probability
+    number``.
 
-    Run ``seed number * len(ps) + probability number`` owns ``spec.layer_size`` cells.
-    The number is the only grouping key: one long key aggregates far faster than
+    Updates are folded by one long key, run * layer_size + cell, which aggregates far faster than
     seed, probability and cell apart.
     """
     ps = sorted(ps)
@@ -69,15 +70,17 @@ def sweep_cells(
         .groupBy("cell")
         .agg(F.sum("value").alias("value"))
     )
-    # A cell also counts for every larger probability of its seed.
+    # One array per cell: value k of a seed's part is what the probabilities up to number k have admitted.
     cell, step = F.col("cell"), F.lit(spec.layer_size).cast("bigint")
-    span = step * len(ps)
-    last = cell - F.pmod(cell, span) + F.pmod(cell, step) + step * (len(ps) - 1)
-    return (
-        admitted.select(F.explode(F.sequence(cell, last, step)).alias("cell"), "value")
-        .groupBy("cell")
-        .agg(F.sum("value").alias("value"))
-    )
+    entries = F.map_from_entries(F.collect_list(F.struct(F.floor(cell / step).cast("int").alias("run"), "value")))
+    found = admitted.groupBy(F.pmod(cell, step).alias("cell")).agg(entries.alias("runs"))
+    width = len(ps)
+
+    def total(run: Column) -> Column:
+        upto = F.sequence(run - F.pmod(run, F.lit(width)), run)
+        return F.aggregate(upto, F.lit(0).cast("bigint"), lambda sums, r: sums + F.coalesce(F.element_at("runs", r), F.lit(0)))
+
+    return found.select("cell", F.transform(F.sequence(F.lit(0), F.lit(width * len(seeds) - 1)), total).alias("values"))
 
 
 def sweep_estimates(
@@ -87,20 +90,25 @@ def sweep_estimates(
     ps: Sequence[float] = SWEEP_P,
     seeds: Sequence[int] = SWEEP_SEEDS,
 ) -> DataFrame:
-    """Estimate and true count of every key for every (p, seed)."""
+    """Estimate and true count of every key for every (p, seed).
+
+    A key is probed once per row for all runs; it is multiplied by them after the joins.
+    """
     ps = sorted(ps)
-    cells = sweep_cells(packets, spec, packet_id, ps, seeds)
+    # A row per cell of one run, so at most ``layer_size`` rows.
+    cells = stored(sweep_cells(packets, spec, packet_id, ps, seeds), "sweep-cells")
     bounded = len(ps) * len(seeds) * spec.layer_size <= BROADCAST_CELLS
 
     runs = [(seed, p) for seed in seeds for p in ps]
     grid = _array([f"named_struct('i', {i}, 'p', {p!r}D, 'seed', {seed})" for i, (seed, p) in enumerate(runs)])
-    probes = with_hashes(count_keys(packets, spec), spec).withColumn("_run", F.explode(grid))
+    probes = with_hashes(count_keys(packets, spec), spec)
     for row, h in enumerate(hash_columns(spec)):
-        at = cell_id(F.col("_run.i"), row, F.col(h), spec)
-        side = cells.select(F.col("cell").alias("_cell"), F.col("value").alias(f"_v{row}"))
+        side = cells.select(F.col("cell").alias("_cell"), F.col("values").alias(f"_v{row}"))
+        at = cell_id(F.lit(0), row, F.col(h), spec)
         probes = probes.join(F.broadcast(side) if bounded else side, at == F.col("_cell"), "left").drop("_cell")
+    probes = probes.withColumn("_run", F.explode(grid))
     values = [
-        sign(F.col(h), spec.sign_bit) * F.coalesce(F.col(f"_v{row}"), F.lit(0))
+        sign(F.col(h), spec.sign_bit) * F.coalesce(F.get(f"_v{row}", F.col("_run.i")), F.lit(0))
         for row, h in enumerate(hash_columns(spec))
     ]
     return probes.select(

@@ -501,7 +501,7 @@ def sampled_geometric(spark, d):
 def sampled_geometric_slots(spark, d):
     packets = ev_counted(spark, d)
     blocks = packets.select(F.floor(F.col("packet_id") / sampling.BLOCK_PACKETS).alias("block")).distinct()
-    return sampling.geometric_slots(sampling.geometric_gaps(blocks, SAMPLED), SAMPLED)
+    return sampling.geometric_slots(blocks, SAMPLED)
 
 
 # Layered summaries ---------------------------------------------------------------------

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,18 +66,40 @@ def test_geometric_walk(skewed):
     # Every row is sampled alike, which a carried-over walk must not break.
     assert all(abs(x - 0.1) < 0.01 for x in rates)
     blocks = skewed.select(F.floor(F.col("packet_id") / sampling.BLOCK_PACKETS).alias("block")).distinct()
-    gaps = sampling.geometric_gaps(blocks, spec)
-    slots = sampling.geometric_slots(gaps, spec)
-    assert gaps.agg(F.min("gap")).first()[0] == 1
+    slots = sampling.geometric_slots(blocks, spec)
     assert slots.count() == slots.distinct().count()
+    first = blocks.where("block < 20").select("block", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("idx"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("gap"), F.lit(spec.sample_seed), "block", "idx"), 32)
     expected = set()
-    walk: dict[int, int] = {}
-    for r in sorted(gaps.filter("block < 20").collect(), key=lambda r: (r.block, r.idx)):
-        walk[r.block] = walk.get(r.block, -1) + r.gap
-        if walk[r.block] < sampling.BLOCK_PACKETS * 4:
-            expected.add((r.block * sampling.BLOCK_PACKETS + walk[r.block] // 4, walk[r.block] % 4))
+    at: dict[int, int] = {}
+    for r in sorted(first.withColumn("draw", draw).collect(), key=lambda r: (r.block, r.idx)):
+        gap = max(1, math.ceil(math.log((r.draw + 0.5) / 2**32) / math.log(0.9)))
+        at[r.block] = at.get(r.block, -1) + gap
+        if at[r.block] < sampling.BLOCK_PACKETS * 4:
+            expected.add((r.block * sampling.BLOCK_PACKETS + at[r.block] // 4, at[r.block] % 4))
     found = {(r.ordinal, r.row) for r in slots.filter(f"ordinal < {20 * sampling.BLOCK_PACKETS}").collect()}
     assert found == expected
+    hits = gated.where(f"packet_id < {20 * sampling.BLOCK_PACKETS}").collect()
+    assert {(r.packet_id, k) for r in hits for k in range(4) if r[f"_g{k}"]} == expected
+    # No join and no shuffle, whatever the order of the packets; negative ids have blocks too, a missing id none.
+    plan = gated._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    mixed = sampling.with_geometric_gates(skewed.repartition(7, "src_ip"), spec, "packet_id")
+    assert sorted(mixed.select(*gated.columns).collect()) == sorted(gated.collect())
+    odd = skewed.limit(3).withColumn("packet_id", F.when(F.col("packet_id") > 0, -F.col("packet_id")))
+    assert sampling.with_geometric_gates(odd, SPEC.with_(p=1.0), "packet_id").where("_g0 = 1").count() == 2
+
+
+def test_draws_grow_with_the_probability(monkeypatch):
+    drawn, plain = [], sampling.gap_draws
+    monkeypatch.setattr(sampling, "gap_draws", lambda blocks, idx, spec: drawn.append(len(blocks)) or plain(blocks, idx, spec))
+    blocks = np.arange(500)
+    for family in ("xx", "md5"):
+        for p in (0.01, 0.1, 0.5):
+            drawn.clear()
+            place, slot = sampling.walk(blocks, SketchSpec(p=p, family=family))
+            assert sum(drawn) == len(place) + len(blocks)  # one more than slots, for the step over the end
+            assert abs(len(place) / (500 * 256 * p) - 1) < 0.15
 
 
 def test_sweep_agrees_with_single_runs(skewed):
@@ -90,6 +114,9 @@ def test_sweep_agrees_with_single_runs(skewed):
         built = sampling.build_sampled(packets, spec, "packet_id")
         for r in estimate.estimate_median(keys, built, spec).collect():
             assert grid[(p, 6, r.src_ip, r.src_port)] == pytest.approx(r.est)
+    # Keys are probed once for all runs: nothing is multiplied below a join.
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(i for i, line in enumerate(lines) if "Generate" in line) < min(i for i, line in enumerate(lines) if "Join" in line)
     errors = {r.p: r for r in sweep.sweep_error(found).collect()}
     assert errors[0.1].mean_abs_error > errors[1.0].mean_abs_error
     assert errors[0.1].estimates == keys.count() * 2
