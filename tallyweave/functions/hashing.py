@@ -7,6 +7,8 @@ The others reproduce published byte hashes bit for bit through Arrow UDFs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,8 +84,10 @@ def jhash_words(words: list[Column], seed: int) -> Column:
 
     @F.arrow_udf("bigint")
     def hashed(values: pa.Array) -> pa.Array:
-        fields = [np.asarray(f.fill_null(0)).astype(np.uint32) for f in values.flatten()]
-        return pa.array(kernels.lookup3_words(fields, seed).astype(np.int64))
+        parts = values.flatten()
+        fields = [np.asarray(f.fill_null(0)).astype(np.uint32) for f in parts]
+        missing = np.logical_or.reduce([np.asarray(f.is_null()) for f in parts])
+        return pa.array(kernels.lookup3_words(fields, seed).astype(np.int64), mask=missing)
 
     return hashed(F.struct(*[w.cast("bigint").alias(f"w{i}") for i, w in enumerate(words)]))
 
@@ -132,10 +136,30 @@ def md5_u32(*parts: Column | int | str) -> list[Column]:
     return [hex_number(digest, 8 * i + 1, 8) for i in range(4)]
 
 
+def _nulls(keys: list[Column]) -> Column:
+    """Which key columns are null, as bits of a number."""
+    bits = [F.when(k.isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def _native(seed: int, keys: list[Column]) -> Column:
+    """Spark's hash of a seed and the keys. It passes over nulls, so keys with nulls are told apart by where these are."""
+    whole = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+    return F.when(whole, F.xxhash64(F.lit(seed), *keys)).otherwise(F.xxhash64(F.lit(seed), _nulls(keys), *keys))
+
+
+def _text(keys: list[Column]) -> Column:
+    """Portable text of a key, with a mark for a null."""
+    return net.key_text(*[F.coalesce(k.cast("string"), F.lit(r"\N")) for k in keys])
+
+
 def _packed(spec: SketchSpec) -> Column:
+    """The packed key. With nulls it has 14 bytes: zeros in their places, and which fields are null."""
     if tuple(spec.keys) != FLOW_KEY:
         raise ValueError(f"family {spec.family!r} hashes the packed flow key; keys must be {FLOW_KEY}")
-    return net.key_bytes(*[F.col(k) for k in spec.keys])
+    keys = [F.col(k) for k in spec.keys]
+    filled = net.key_hex(*[F.coalesce(k, F.lit(0)) for k in keys])
+    return F.coalesce(net.key_bytes(*keys), F.unhex(F.concat(filled, net.fixed_hex(_nulls(keys), 2))))
 
 
 def hash_columns(spec: SketchSpec) -> list[str]:
@@ -146,16 +170,16 @@ def with_hashes(df: DataFrame, spec: SketchSpec, *, layer_hash: bool = False) ->
     """Add one hash column per row and, if asked, the 32-bit layer hash ``_hl``.
 
     The expensive hash is computed once in its own projection; the lanes are cut
-    from it in the next one.
+    from it in the next one. Null is a value of a key like any other, apart from all others.
     """
     keys = [F.col(k) for k in spec.keys]
     family = spec.family
     if family == "xx":
-        base = {"_h": F.xxhash64(F.lit(spec.seed), *keys)}
+        base = {"_h": _native(spec.seed, keys)}
         rows = [lane(F.col("_h"), i) for i in range(spec.rows)]
-        layer = F.xxhash64(F.lit(spec.layer_seed), *keys).bitwiseAND(F.lit(U32_MASK))
+        layer = _native(spec.layer_seed, keys).bitwiseAND(F.lit(U32_MASK))
     elif family == "md5":
-        df = df.withColumn("_k", F.md5(net.key_text(*keys)))
+        df = df.withColumn("_k", F.md5(_text(keys)))
         base = {f"_p{i}": hex_number(F.col("_k"), 8 * i + 1, 8) for i in range((spec.rows + 1) // 2)}
         if layer_hash:
             base["_hl"] = hex_number(F.col("_k"), 17, 8)
@@ -175,10 +199,10 @@ def with_hashes(df: DataFrame, spec: SketchSpec, *, layer_hash: bool = False) ->
         seeds = spec.row_seeds[: spec.rows]
         if family == "xx_rows":
             base = {}
-            rows = [F.xxhash64(F.lit(s), *keys).bitwiseAND(F.lit(U32_MASK)) for s in seeds]
-            layer = F.xxhash64(F.lit(spec.layer_seed), *keys).bitwiseAND(F.lit(U32_MASK))
+            rows = [_native(s, keys).bitwiseAND(F.lit(U32_MASK)) for s in seeds]
+            layer = _native(spec.layer_seed, keys).bitwiseAND(F.lit(U32_MASK))
         elif family == "md5_rows":
-            base = {"_h": net.key_text(*keys)}
+            base = {"_h": _text(keys)}
             rows = [hex_number(F.md5(F.concat(F.lit(f"{s}|"), F.col("_h"))), 1, 8) for s in seeds]
             layer = hex_number(F.md5(F.concat(F.lit(f"{spec.layer_seed}|"), F.col("_h"))), 1, 8)
         else:

@@ -678,6 +678,13 @@ def _sweep(ps, seeds) -> str:
     )
 
 
+ORACLES["key_totals"] = with_(
+    """keys AS (SELECT u AS "user", p AS peer, count(*) AS n, md5(concat_ws('|', coalesce(CAST(u AS VARCHAR), '\\N'), coalesce(CAST(p AS VARCHAR), '\\N'))) AS h
+  FROM (SELECT CASE WHEN user_id % 4 <> 0 THEN user_id END AS u, CASE WHEN user_id % 4 <> 1 THEN user_id END AS p FROM events) GROUP BY ALL)""",
+    """upd AS (SELECT keys.*, r, CAST('0x' || substr(h, 4 * r + 1, 4) AS BIGINT) & 511 AS col FROM keys, range(4) t(r))""",
+    "counted AS (SELECT r, col, sum(n) AS v FROM upd GROUP BY ALL)",
+) + """
+SELECT "user", peer, n, CAST(min(v) AS BIGINT) AS est FROM upd JOIN counted USING (r, col) GROUP BY ALL"""
 ORACLES["sampled_sweep"] = _sweep(SWEEP_P, SWEEP_SEEDS) + f"""
 SELECT p, round(avg(abs(est - n)), 6) AS mean_abs_error, round(avg(est - n), 6) AS mean_error, count(*) AS estimates
 FROM est JOIN keys USING ({KEY}) GROUP BY p"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.functions import bits, hashing, net, numeric
+from tallyweave.functions import bits, hashing, lookup3, net, numeric
 from tallyweave.functions.hashing import hash_columns, md5_u32, with_hashes
 from tallyweave.operators import cells, estimate, keyed, layered, rates, sampling, sweep, topk
 from tallyweave.session import fresh_path, stored
@@ -151,22 +151,25 @@ _byte_hash_query("hash_fasthash32", lambda k: hashing.fasthash32(k, DEFAULT_LAYE
 _byte_hash_query("hash_xxhash32", lambda k: hashing.xxhash32(k, DEFAULT_SEED))
 _byte_hash_query("hash_xxhash64", lambda k: hashing.xxhash64(k, DEFAULT_SEED))
 _byte_hash_query("hash_xxhash64_native", lambda k: hashing.xxhash64(k, 42))
-_byte_hash_query("hash_jhash", lambda k: hashing.jhash(k, 0x12344321))
 _byte_hash_query("hash_murmur3", lambda k: hashing.murmur3_32(k, 0x12344321))
 _byte_hash_query("hash_siphash", lambda k: hashing.siphash24(k, b"deadbeeflonglong"))
 
 
+@query
+def hash_jhash(spark, d):
+    packed = ev(spark, d).select("packet_id", net.key_bytes(*_key()).alias("key"))
+    return lookup3.with_jhash(packed, "key", 13, 0x12344321, "h").drop("key")
+
+
 @query
 def hash_jhash_words(spark, d):
     """One-, two- and three-word forms over the addresses and ports."""
     src, dst = F.col("src_ip"), F.col("dst_ip")
     ports = F.shiftleft(F.col("src_port").cast("bigint"), 16).bitwiseOR(F.col("dst_port").cast("bigint"))
-    return ev(spark, d).select(
-        "packet_id",
-        hashing.jhash_words([src], 7).alias("h1"),
-        hashing.jhash_words([src, dst], 7).alias("h2"),
-        hashing.jhash_words([src, dst, ports], 7).alias("h3"),
-    )
+    hashed = ev(spark, d)
+    for i in (1, 2, 3):
+        hashed = lookup3.with_jhash_words(hashed, [src, dst, ports][:i], 7, f"h{i}")
+    return hashed.select("packet_id", "h1", "h2", "h3")
 
 
 @query
@@ -264,6 +267,18 @@ def cm_error(spark, d):
     )
 
 
+@query
+def key_totals(spark, d):
+    """Counts and count-min estimates of keys with missing fields: no key shares the cells of another for its nulls."""
+    kind = F.pmod(F.col("user_id"), F.lit(4))
+    rows = flow_tables.read_table(spark, d, "events").select(
+        F.when(kind != 0, F.col("user_id")).alias("user"), F.when(kind != 1, F.col("user_id")).alias("peer")
+    )
+    spec = SketchSpec(keys=("user", "peer"), family="md5")
+    totals = cells.count_keys(rows, spec)
+    return estimate.estimate_min(totals, cells.build_count_min(rows, spec), spec)
+
+
 @query
 def cs_cells(spark, d):
     return cells.build_count_sketch(ev_counted(spark, d), SPEC)

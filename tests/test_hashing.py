@@ -1,11 +1,13 @@
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyweave.functions import hashing, net
+from tallyweave.functions import hashing, kernels, lookup3, net
 from tallyweave.functions.hashing import hash_columns, with_hashes
-from tallyweave.operators.cells import deepest_layer
-from tallyweave.spec import FLOW_KEY, SketchSpec
+from tallyweave.operators.cells import build_count_min, deepest_layer
+from tallyweave.operators.estimate import estimate_min
+from tallyweave.spec import FLOW_KEY, LANE_FAMILIES, ROW_FAMILIES, SketchSpec
 
 # src, dst, sport, dport, proto, key hex, fasthash64, lanes (col, sign), layer hash, deepest layer
 GOLDEN = [
@@ -83,6 +85,42 @@ def test_any_length_and_null(spark):
             assert r.n == signed(xxhash.xxh64_intdigest(k, 42))
 
 
+@pytest.mark.parametrize("family", LANE_FAMILIES + ROW_FAMILIES)
+def test_null_keys_are_keys_of_their_own(spark, family):
+    """All places of nulls, zeros and equal values give hashes of their own, and none is null."""
+    values = [(a, b, c) for a in (None, 0, 5) for b in (None, 0, 5) for c in (None, 0, 5)]
+    rows = [(a, b, c, 443, 6, i) for i, (a, b, c) in enumerate(values)]
+    df = spark.createDataFrame(rows, "src_ip long, dst_ip long, src_port int, dst_port int, proto int, i int")
+    spec = SketchSpec(family=family)
+    hashed = with_hashes(df, spec, layer_hash=True).select("_hl", *hash_columns(spec)).collect()
+    assert all(x is not None for r in hashed for x in r)
+    assert len({tuple(r) for r in hashed}) == len(values)
+    assert build_count_min(df, spec).where("layer is null or row is null or col is null").count() == 0
+    found = estimate_min(df, build_count_min(df.where("i % 2 = 0"), spec), spec).collect()
+    assert all(r["est"] >= (r["i"] + 1) % 2 for r in found) and sum(r["est"] for r in found) <= len(values) // 2 + 2
+
+
+def test_native_lookup3(spark):
+    keys = [bytes((i * 91 + n * 17 + k) & 255 for i in range(n)) for n in (1, 3, 4, 5, 8, 11, 12, 13, 14, 24, 25, 40) for k in range(5)]
+    for length in sorted({len(k) for k in keys}):
+        own = [k for k in keys if len(k) == length] + [None]
+        df = spark.createDataFrame([(k,) for k in own], "k binary")
+        found = lookup3.with_jhash(df, "k", length, 77, "h")
+        matrix = np.array([list(k) for k in own[:-1]], np.uint8)
+        assert [r["h"] for r in found.collect()] == [*map(int, kernels.lookup3(matrix, 77)), None]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+    rows = [(1, 2, 3), (2**32 - 1, 0, 7), (None, 2, 3), (4, None, 6), (7, 8, None)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    for n in (1, 2, 3):
+        columns = [F.col(c) for c in "abc"[:n]]
+        native = [r["h"] for r in lookup3.with_jhash_words(df, columns, 7, "h").collect()]
+        assert native == [r[0] for r in df.select(hashing.jhash_words(columns, 7)).collect()]
+        assert [h is None for h in native] == [None in r[:n] for r in rows]
+    with pytest.raises(ValueError):
+        lookup3.with_jhash_words(df, [F.col("a")] * 4, 7, "h")
+
+
 def test_families_reject_foreign_keys(spark):
     df = spark.range(1)
     with pytest.raises(ValueError):
