@@ -166,37 +166,38 @@ def nested(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> Dat
     return unnumber_cells(nest_numbered(number_cells(cells, spec, by), spec, by=by), spec, by)
 
 
-def to_dense(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:
-    """One ``rows x cols`` matrix per layer.
+def to_row_arrays(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:
+    """One dense array of ``cols`` values per row of every layer.
 
-    A summary has at most ``spec.cell_count`` cells, so its sorted cells fit one
-    array; the holes between neighbours are filled with zeros.
+    Rows are put together apart from each other: sorted cells of a row, zeros in the holes between them.
     """
     zero = F.lit(0).cast("bigint")
-    sparse = number_cells(cells, spec, by).groupBy(*by).agg(F.collect_list(F.struct("cell", "value")).alias("_s"))
-    sparse = sparse.withColumn("_s", F.sort_array("_s"))
+    numbered = number_cells(cells, spec, by)
+    line, col = bits.row_of(F.col("cell"), spec.cols), bits.col_of(F.col("cell"), spec.cols)
+    entries = numbered.select(*by, line.cast("int").alias("_line"), F.struct(col.cast("int").alias("col"), "value").alias("_e"))
+    # Every row of every summary is there, with or without cells.
+    groups = numbered.select(*by).distinct() if by else cells.sparkSession.range(1).select()
+    lines = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(spec.layers * spec.rows - 1))).alias("_line"))
+    lines = lines.withColumn("_e", F.lit(None).cast(entries.schema["_e"].dataType))
+    rows = entries.union(lines).groupBy(*by, "_line").agg(F.sort_array(F.collect_list("_e")).alias("_s"))
 
     def filled(entry: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(F.get(F.col("_s"), i - 1)["cell"])
-        return F.concat(F.array_repeat(zero, (entry["cell"] - before - 1).cast("int")), F.array(entry["value"]))
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("_s"), i - 1)["col"])
+        return F.concat(F.array_repeat(zero, entry["col"] - before - 1), F.array(entry["value"]))
 
-    body = sparse.withColumn("_s", F.flatten(F.transform("_s", filled)))
-    missing = F.lit(spec.cell_count) - F.size("_s")
-    flat = body.withColumn("_s", F.concat("_s", F.array_repeat(zero, missing)))
+    last = F.when(F.size("_s") == 0, F.lit(-1)).otherwise(F.element_at("_s", -1)["col"])
+    whole = F.concat(F.flatten(F.transform("_s", filled)), F.array_repeat(zero, F.lit(spec.cols - 1) - last))
+    return rows.select(
+        *by, F.floor(F.col("_line") / spec.rows).cast("int").alias("layer"),
+        F.pmod("_line", F.lit(spec.rows)).cast("int").alias("row"), whole.alias("values"),
+    )
 
-    def row_slice(layer: Column):
-        return lambda row: F.slice("_s", layer * spec.layer_size + row * spec.cols + 1, F.lit(spec.cols))
-
-    matrices = F.transform(
-        F.sequence(F.lit(0), F.lit(spec.layers - 1)),
-        lambda layer: F.transform(F.sequence(F.lit(0), F.lit(spec.rows - 1)), row_slice(layer)),
-    )
-    return flat.select(*by, F.posexplode(matrices).alias("layer", "values"))
 
-
-def to_row_arrays(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:
-    """One dense array of ``cols`` values per row of every layer."""
-    return to_dense(cells, spec, by=by).select(*by, "layer", F.posexplode("values").alias("row", "values"))
+def to_dense(cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -> DataFrame:
+    """One ``rows x cols`` matrix per layer."""
+    arrays = to_row_arrays(cells, spec, by=by).groupBy(*by, "layer")
+    found = arrays.agg(F.sort_array(F.collect_list(F.struct("row", "values"))).alias("_r"))
+    return found.select(*by, "layer", F.transform("_r", lambda r: r["values"]).alias("values"))
 
 
 def to_long(dense: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:

@@ -9,33 +9,35 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import bits, net, numeric
 from tallyweave.functions.hashing import hash_columns, with_hashes
-from tallyweave.operators.cells import cell_id, number_cells
+from tallyweave.operators.cells import cell_id, number_cells, to_dense
+from tallyweave.operators.lookup import spread_join
+from tallyweave.session import stored
 from tallyweave.spec import SketchSpec
 
 #: Summaries of up to this many cells (16 bytes each) are shipped to every task.
-#: The number is known from the spec, not guessed from the data.
 BROADCAST_CELLS = 1 << 20
+#: Cells of a layer that are packed into one row at most.
+PACKED_CELLS = 1 << 18
 
 
 def probe(
-    hashed: DataFrame,
-    cells: DataFrame,
-    spec: SketchSpec,
-    *,
-    layer: Column | None = None,
-    by: Sequence[str] = (),
-    summaries: int = 1,
+    hashed: DataFrame, cells: DataFrame, spec: SketchSpec, *, layer: Column | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``_v0.._v{rows-1}``, the cell each hash column points at.
 
-    One equi-join per row against the same numbered cells. While they fit the
-    broadcast bound the joins are map-side and the probing table is not shuffled.
-    ``summaries`` is the number of ``by`` groups when it is known; with ``by`` and
-    no such bound the join strategy is left to Spark and its size statistics.
+    While the cells fit the broadcast bound there is one map-side equi-join per row against the same numbered cells, and the
+    probing table is not shuffled. The spec bounds the cells of one summary; those of several (``by``) are counted. Beyond the
+    bound the cells of a layer become one row of arrays, which the probing rows meet in one shuffle.
     """
     layer = F.lit(0) if layer is None else layer
     table = number_cells(cells, spec, by)
-    bounded = (not by or summaries > 1) and spec.cell_count * summaries <= BROADCAST_CELLS
+    if by:
+        table = stored(table, "cells")
+        bounded = table.count() <= BROADCAST_CELLS
+    else:
+        bounded = spec.cell_count <= BROADCAST_CELLS
+    if not bounded and spec.layer_size <= PACKED_CELLS:
+        return _probe_packed(hashed, table, spec, layer, by)
     hashed = hashed.withColumns(
         {f"_c{r}": cell_id(layer, r, F.col(h), spec) for r, h in enumerate(hash_columns(spec))}
     )
@@ -53,6 +55,16 @@ def probe(
     return hashed.fillna(0, [f"_v{r}" for r in range(spec.rows)])
 
 
+def _probe_packed(hashed: DataFrame, table: DataFrame, spec: SketchSpec, layer: Column, by: Sequence[str]) -> DataFrame:
+    packed = to_dense(table, spec, by=by).withColumnsRenamed({"layer": "_layer", "values": "_cells"})
+    found = spread_join(hashed.withColumn("_layer", layer.cast("int")), packed, [*by, "_layer"])
+    at = {
+        f"_v{r}": F.coalesce(F.get(F.get("_cells", F.lit(r)), bits.column_index(F.col(h), spec.cols)), F.lit(0))
+        for r, h in enumerate(hash_columns(spec))
+    }
+    return found.withColumns(at).drop("_layer", "_cells")
+
+
 def fold_minimum(spec: SketchSpec) -> Column:
     values = [F.col(f"_v{r}") for r in range(spec.rows)]
     return F.least(*values) if len(values) > 1 else values[0]
@@ -65,17 +77,17 @@ def fold_median(spec: SketchSpec) -> Column:
     )
 
 
-def _estimated(keys: DataFrame, cells: DataFrame, spec: SketchSpec, fold: Column, by, summaries) -> DataFrame:
+def _estimated(keys: DataFrame, cells: DataFrame, spec: SketchSpec, fold: Column, by) -> DataFrame:
     hashed = with_hashes(keys, spec)
-    found = probe(hashed, cells, spec, by=by, summaries=summaries)
+    found = probe(hashed, cells, spec, by=by)
     return found.select(*[c for c in keys.columns], fold.alias("est"))
 
 
 def estimate_min(
-    keys: DataFrame, cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = (), summaries: int = 1
+    keys: DataFrame, cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()
 ) -> DataFrame:
     """Count-min estimate ``est`` of every key row; never below the true count."""
-    return _estimated(keys, cells, spec, fold_minimum(spec), by, summaries)
+    return _estimated(keys, cells, spec, fold_minimum(spec), by)
 
 
 def estimate_median(
@@ -85,7 +97,6 @@ def estimate_median(
     *,
     floor: bool = False,
     by: Sequence[str] = (),
-    summaries: int = 1,
 ) -> DataFrame:
     """Count-sketch estimate ``est`` of every key row, scaled up by the sampling rate.
 
@@ -96,7 +107,7 @@ def estimate_median(
         median = median / F.lit(spec.p)
     if floor:
         median = F.floor(median)
-    return _estimated(keys, cells, spec, median, by, summaries)
+    return _estimated(keys, cells, spec, median, by)
 
 
 def parse_query_keys(queries: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.operators.lookup import spread_join
+
 #: Constant stored by the writes that do not store their value.
 MARKER = 0xFEDC
 
@@ -55,11 +57,16 @@ def write_constant(rows: DataFrame, size: int, x: str = "x") -> DataFrame:
 def lookup(
     probes: DataFrame, table: DataFrame, size: int, x: str = "x", *, default: int | None = None
 ) -> DataFrame:
-    """Add ``value`` of the slot of every probe row, ``default`` where it is empty."""
-    side = table.select(F.col("key").alias("_key"), "value")
+    """Add ``value`` of the slot of every probe row, ``default`` where it is empty.
+
+    Beyond ``BROADCAST_SLOTS`` the probing rows are shuffled once, those of a hot slot in parts.
+    """
+    # Slots out of range are never asked for, and each has one row: the size bounds what is broadcast, whatever the table holds.
+    side = table.where(F.col("key").between(0, size - 1)).groupBy(F.col("key").alias("_key")).agg(F.max("value").alias("value"))
     if size <= BROADCAST_SLOTS:
-        side = F.broadcast(side)
-    found = probes.join(side, slot(F.col(x), size) == F.col("_key"), "left").drop("_key")
+        found = probes.join(F.broadcast(side), slot(F.col(x), size) == F.col("_key"), "left").drop("_key")
+    else:
+        found = spread_join(probes.withColumn("_key", slot(F.col(x), size)), side, ["_key"]).drop("_key")
     return found if default is None else found.withColumn("value", F.coalesce("value", F.lit(default)))
 
 

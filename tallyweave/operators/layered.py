@@ -41,14 +41,13 @@ def heavy_hitters(
     *,
     k: int | None = None,
     by: Sequence[str] = (),
-    summaries: int = 1,
 ) -> DataFrame:
     """The ``k`` largest estimates of every layer (and group of ``by``).
 
     ``candidates`` holds each key once. A key is a candidate in all layers down to
     its deepest, two on average. An estimate must be positive to be listed.
     """
-    listed = estimates(candidates, nested_cells, spec, by=by, summaries=summaries)
+    listed = estimates(candidates, nested_cells, spec, by=by)
     ranked = topk.top_per_group(
         listed, [*by, "layer"], topk.heap_order(spec), k or spec.heap_size, shard_on=spec.keys
     )
@@ -63,14 +62,14 @@ def placed(candidates: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()) -
 
 
 def estimates(
-    candidates: DataFrame, nested_cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = (), summaries: int = 1
+    candidates: DataFrame, nested_cells: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()
 ) -> DataFrame:
     """Positive estimates ``(by..., layer, est, keys..., deepest)`` of candidates in all their layers."""
-    return _estimates(placed(candidates, spec, by=by), nested_cells, spec, by=by, summaries=summaries)
+    return _estimates(placed(candidates, spec, by=by), nested_cells, spec, by=by)
 
 
-def _estimates(rows: DataFrame, nested_cells: DataFrame, spec: SketchSpec, *, by: Sequence[str], summaries: int) -> DataFrame:
-    probed = probe(rows, nested_cells, spec, layer=F.col("layer"), by=by, summaries=summaries)
+def _estimates(rows: DataFrame, nested_cells: DataFrame, spec: SketchSpec, *, by: Sequence[str]) -> DataFrame:
+    probed = probe(rows, nested_cells, spec, layer=F.col("layer"), by=by)
     median = fold_median(spec)
     if spec.p < 1.0:
         median = median / F.lit(spec.p)
@@ -79,7 +78,7 @@ def _estimates(rows: DataFrame, nested_cells: DataFrame, spec: SketchSpec, *, by
 
 
 def summarize(
-    flows: DataFrame, spec: SketchSpec, *, by: Sequence[str] = (), summaries: int = 1
+    flows: DataFrame, spec: SketchSpec, *, by: Sequence[str] = ()
 ) -> DataFrame:
     """Heavy hitters of all layers straight from flow rows, one list per group of ``by``.
 
@@ -90,7 +89,7 @@ def summarize(
     hashed = with_hashes(counts, spec, layer_hash=True)
     deepest = deepest_layer(F.col("_hl"), spec)
     cells = fold(hashed, spec, [F.col("n")] * spec.rows, signed=True, layer=deepest, by=by)
-    return heavy_hitters(counts, nest_numbered(cells, spec, by=by), spec, by=by, summaries=summaries)
+    return heavy_hitters(counts, nest_numbered(cells, spec, by=by), spec, by=by)
 
 
 def sampling_rate(rows: int, spec: SketchSpec) -> int:
@@ -111,7 +110,7 @@ def floors(flows: DataFrame, nested_cells: DataFrame, spec: SketchSpec, rate: in
     """
     share = F.pmod(F.xxhash64(F.lit(spec.seed), *spec.keys), F.lit(rate))
     some = placed(flows, spec).where(share < F.expr("shiftleft(1L, layer)"))
-    listed = _estimates(some.distinct(), nested_cells, spec, by=(), summaries=1)
+    listed = _estimates(some.distinct(), nested_cells, spec, by=())
     ranked = topk.top_per_group(listed, ["layer"], topk.heap_order(spec), spec.heap_size, shard_on=spec.keys)
     last = ranked.where(F.col("rank") == spec.heap_size)
     return last.select(F.col("layer").alias("_layer"), F.col("est").alias("floor"), F.struct(*spec.keys).alias("floor_key"))

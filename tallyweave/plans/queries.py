@@ -27,7 +27,6 @@ MD5_ROWS = SketchSpec(family="md5_rows")
 LAYERED = SketchSpec(layers=16, heap_size=64)
 SAMPLED = SketchSpec(p=0.25)
 HOUR = 3600
-CPUS = 4
 SLOTS = 64
 
 
@@ -565,24 +564,24 @@ def top_layer_k(spark, d):
 @query
 def topk_merge(spark, d):
     """One heavy-hitter list per source CPU; the same key in several lists is added up."""
-    lists = layered.summarize(ev_counted(spark, d), LAYERED, by=("cpu",), summaries=CPUS)
+    lists = layered.summarize(ev_counted(spark, d), LAYERED, by=("cpu",))
     return topk.merge_heaps(lists, LAYERED)
 
 
-def _parts(flows: DataFrame, by: str, summaries: int) -> DataFrame:
+def _parts(flows: DataFrame, by: str) -> DataFrame:
     """Estimates of every key in the summary of each group it was seen in."""
     counts = stored(cells.count_keys(flows, LAYERED, by=(by,)), "counts")
     hashed = with_hashes(counts, LAYERED, layer_hash=True)
     deepest = cells.deepest_layer(F.col("_hl"), LAYERED)
     built = cells.fold(hashed, LAYERED, [F.col("n")] * LAYERED.rows, signed=True, layer=deepest, by=(by,))
     nested = stored(cells.nest_numbered(built, LAYERED, by=(by,)), "cells")
-    return stored(layered.estimates(counts, nested, LAYERED, by=(by,), summaries=summaries), "parts")
+    return stored(layered.estimates(counts, nested, LAYERED, by=(by,)), "parts")
 
 
 @query
 def topk_merge_exact(spark, d):
     """As topk_merge, but no key is under-counted for being below the end of a list."""
-    return topk.merge_exact(_parts(ev_counted(spark, d), "cpu", CPUS), LAYERED, lists=("cpu",))
+    return topk.merge_exact(_parts(ev_counted(spark, d), "cpu"), LAYERED, lists=("cpu",))
 
 
 @query

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions.hashing import hash_columns, with_hashes
-from tallyweave.operators import cells, estimate
+from tallyweave.operators import cells, estimate, lookup
+from tallyweave.session import stored
 from tallyweave.sources import stores
 from tallyweave.spec import FLOW_KEY, SketchSpec
 
@@ -86,6 +87,23 @@ def test_layouts(spark, skewed):
     assert len(empty) == 8 and not any(np.any(r["values"]) for r in empty)
 
 
+def test_rows_are_put_together_apart(skewed):
+    """A dense summary is made of one aggregate per row; groups, null ones too, have all their rows."""
+    spec = SketchSpec(cols=64, layers=8)
+    grouped = skewed.withColumn("cpu", F.when(F.col("cpu") > 0, F.col("cpu")))
+    built = cells.build_count_sketch(grouped, spec, layered=True, by=("cpu",))
+    arrays = cells.to_row_arrays(built, spec, by=("cpu",))
+    found = {(r.cpu, r.layer, r.row): list(r["values"]) for r in arrays.collect()}
+    assert len(found) == 4 * 8 * 4 and all(len(v) == 64 for v in found.values())
+    assert sum(abs(x) for v in found.values() for x in v) == built.agg(F.sum(F.abs("value"))).first()[0]
+    for r in built.collect():
+        assert found[r.cpu, r.layer, r.row][r.col] == r.value
+    dense = {(r.cpu, r.layer): [list(v) for v in r["values"]] for r in cells.to_dense(built, spec, by=("cpu",)).collect()}
+    assert dense == {
+        (cpu, layer): [found[cpu, layer, row] for row in range(4)] for cpu in (None, 1, 2, 3) for layer in range(8)
+    }
+
+
 def test_nested_layers(skewed):
     spec = SketchSpec(layers=6)
     deep = table(cells.build_count_sketch(skewed, spec, layered=True))
@@ -128,22 +146,49 @@ def test_count_sketch_finds_the_hot_key(skewed):
     assert abs(np.mean(errors)) < 10
 
 
-def test_probe_without_broadcast_gives_the_same(skewed, monkeypatch):
+@pytest.mark.parametrize("packed", [0, 1 << 18])
+def test_probe_without_broadcast_gives_the_same(skewed, monkeypatch, packed):
     counts = cells.count_keys(skewed, SPEC)
     built = cells.build_count_sketch(skewed, SPEC)
     near = {tuple(r) for r in estimate.estimate_median(counts, built, SPEC).collect()}
     monkeypatch.setattr(estimate, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(estimate, "PACKED_CELLS", packed)
     far = estimate.estimate_median(counts, built, SPEC)
     assert {tuple(r) for r in far.collect()} == near
 
 
-def test_estimates_inside_groups(skewed):
-    built = cells.build_count_min(skewed, SPEC, by=("cpu",))
-    keys = cells.count_keys(skewed, SPEC, by=("cpu",))
-    for summaries in (1, 4):
-        found = estimate.estimate_min(keys, built, SPEC, by=("cpu",), summaries=summaries).collect()
-        assert len(found) == keys.count()
-        assert all(r.est >= r.n for r in found)
+def test_probing_rows_are_shuffled_once_and_hot_groups_split(spark, skewed, monkeypatch):
+    """Beyond the bound: raw packets of which half are in one layer, in parts of at most 3,000."""
+    spec = SketchSpec(layers=3)
+    built = cells.nested(cells.build_count_sketch(skewed, spec, layered=True), spec)
+    hashed = with_hashes(skewed.select(*FLOW_KEY), spec).withColumn("at", F.pmod("src_ip", F.lit(3)).cast("int"))
+    near = sorted(estimate.probe(hashed, built, spec, layer=F.col("at")).collect())
+    monkeypatch.setattr(estimate, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(lookup, "ROWS_TOGETHER", 3000)
+    far = estimate.probe(hashed, stored(built, "cells"), spec, layer=F.col("at"))
+    assert sorted(far.collect()) == near
+    # One merge join, so the probing rows are exchanged once.
+    plan = far._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 1
+    # Small partitions are put together again unless that is turned off.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = far.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert per_task < 0.9 * far.groupBy("at").count().agg(F.max("count")).first()[0]
+
+
+def test_estimates_inside_groups(skewed, monkeypatch):
+    """The cells of all groups are counted: within the bound and beyond it the result is the same."""
+    grouped = skewed.withColumn("cpu", F.when(F.col("cpu") > 0, F.col("cpu")))  # a group of its own for null
+    built = cells.build_count_min(grouped, SPEC, by=("cpu",))
+    keys = cells.count_keys(grouped, SPEC, by=("cpu",))
+    near = sorted(estimate.estimate_min(keys, built, SPEC, by=("cpu",)).collect(), key=str)
+    assert len(near) == keys.count() and all(r.est >= r.n for r in near)
+    for bound in (100, 0):
+        monkeypatch.setattr(estimate, "BROADCAST_CELLS", bound)
+        assert sorted(estimate.estimate_min(keys, built, SPEC, by=("cpu",)).collect(), key=str) == near
 
 
 def test_unknown_key_and_empty_summary(spark, skewed):

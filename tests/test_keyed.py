@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from tallyweave.functions import hashing
-from tallyweave.operators import keyed
+from tallyweave.operators import keyed, lookup
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,20 @@ def test_lookup(spark, writes, size):
     assert bare == sum(1 for _, x in rows if x % size not in stored)
 
 
+def test_lookup_beyond_the_bound_and_in_a_wrong_table(writes, monkeypatch):
+    """The same values without a broadcast, with a hot slot in parts, and from a table with slots out of range."""
+    df, _ = writes
+    probes = df.withColumn("x", F.when(F.col("seq") % 3 == 0, F.lit(7)).otherwise(F.col("x")))
+    table = keyed.increment(df, 64)
+    near = sorted(keyed.lookup(probes, table, 64, default=0).collect())
+    odd = table.union(table.select(F.col("key") + 64, F.lit(99).cast("bigint")))
+    assert sorted(keyed.lookup(probes, odd, 64, default=0).collect()) == near
+    monkeypatch.setattr(keyed, "BROADCAST_SLOTS", 0)
+    for together in (10, 10**6):
+        monkeypatch.setattr(lookup, "ROWS_TOGETHER", together)
+        assert sorted(keyed.lookup(probes, odd, 64, default=0).collect()) == near
+
+
 def test_checksum_ignores_order_and_sees_changes(writes):
     df, _ = writes
     row_hash = F.xxhash64("seq", "x")

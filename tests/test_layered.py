@@ -165,7 +165,7 @@ def test_exact_merge_equals_the_sum_of_everything(spark, k, monkeypatch):
 
 
 def test_merging_lists_adds_the_same_key(skewed, heap):
-    parts = layered.summarize(skewed, SPEC, by=("cpu",), summaries=4)
+    parts = layered.summarize(skewed, SPEC, by=("cpu",))
     merged = topk.merge_heaps(parts, SPEC)
     assert merged.groupBy("layer", *FLOW_KEY).count().filter("count > 1").count() == 0
     hot = merged.filter("layer = 0 and rank = 1").first()
