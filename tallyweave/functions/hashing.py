@@ -103,17 +103,13 @@ def siphash24(key: Column, secret: bytes) -> Column:
     return _byte_hash(kernels.siphash24, secret)(key)
 
 
-#: Hash of a binary column by name, for callers that choose at run time.
-BYTE_HASHES = {
-    "fasthash32": fasthash32,
-    "fasthash64": fasthash64,
-    "xxhash32": xxhash32,
-    "xxhash64": xxhash64,
-    "jhash": jhash,
-    "hashlittle": hashlittle,
-    "murmur3_32": murmur3_32,
-    "siphash24": siphash24,
-}
+def siphash24_of_seed(key: Column, seed: int) -> Column:
+    """SipHash-2-4 of which the secret is the seed, twice as 8 little-endian bytes."""
+    return siphash24(key, seed.to_bytes(8, "little") * 2)
+
+
+#: Families of byte hashes whose lanes a summary can use: function of (key, seed) and its bits.
+BYTE_FAMILIES = {"jhash": (jhash, 32), "murmur3": (murmur3_32, 32), "siphash": (siphash24_of_seed, 64), "xxhash64": (xxhash64, 64)}
 
 
 def xor_fold(hashes: list[Column]) -> Column:
@@ -195,6 +191,17 @@ def with_hashes(df: DataFrame, spec: SketchSpec, *, layer_hash: bool = False) ->
         base = {"_h": base_hash} | ({"_hl": layer} if layer_hash else {})
         rows = [lane(F.col("_h"), i) for i in range(spec.rows)]
         layer = F.col("_hl")
+    elif family in BYTE_FAMILIES:
+        df = df.withColumn("_k", _packed(spec))
+        hashed, bits = BYTE_FAMILIES[family]
+        parts = 64 // bits
+        seeds = (spec.seed,) if parts == 1 else spec.row_seeds[:parts]
+        base = {f"_p{i}": hashed(F.col("_k"), seed) for i, seed in enumerate(seeds)}
+        if layer_hash:
+            base["_hl"] = hashed(F.col("_k"), spec.layer_seed).bitwiseAND(F.lit(U32_MASK))
+        per = 4 // parts
+        rows = [lane(F.col(f"_p{i // per}"), i % per) for i in range(spec.rows)]
+        layer = F.col("_hl")
     elif family in ROW_FAMILIES:
         seeds = spec.row_seeds[: spec.rows]
         if family == "xx_rows":

@@ -31,7 +31,9 @@ def counter_aggregates(packets: bool = True, bytes: bool = True) -> list[Column]
 
 
 def totals(flows: DataFrame, by: Sequence[str] = (), **which: bool) -> DataFrame:
-    return flows.groupBy(*by).agg(*counter_aggregates(**which))
+    """Counters per group; with both turned off only the groups are left."""
+    counters = counter_aggregates(**which)
+    return flows.groupBy(*by).agg(*counters) if counters else flows.select(*by).distinct()
 
 
 def per_protocol(flows: DataFrame) -> DataFrame:
@@ -52,6 +54,8 @@ def per_interval(
     ``fill`` adds zero rows for empty intervals between the first and the last of a
     series. It runs the counting at once and stores its small result.
     """
+    if not counter_aggregates(**which):
+        raise ValueError("intervals need a counter that is on")
     counted = (
         flows.groupBy(*by, F.window("ts", f"{seconds} seconds").alias("_w"))
         .agg(*counter_aggregates(**which))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-from tallyweave.functions.kernels import xxhash64 as xxhash64_of
-from tallyweave.operators.sweep import SWEEP_P, SWEEP_SEEDS
+import xxhash
 
 KEY = "src_ip, dst_ip, src_port, dst_port, proto"
 KEY_TEXT = f"concat_ws('|', {KEY})"
@@ -436,8 +433,7 @@ def _constant(value: int, seed: int, wide: bool) -> int:
 
 def _text(text: str) -> int:
     """Hash of a leading text literal."""
-    key = np.frombuffer(text.encode(), np.uint8).reshape(1, -1)
-    return int(xxhash64_of(key, 42)[0])
+    return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
 def _xx_columns(prefix: str, source: str, columns: str, start: dict[str, int], wide: tuple[bool, ...]) -> str:
@@ -521,6 +517,24 @@ cells AS (SELECT r, col, sum(sgn) AS v FROM upd GROUP BY r, col)
 ORACLES["cs_cells_fasthash"] = _fasthash_cells()
 
 
+def _byte_hash_cells(hashes: list[str]) -> str:
+    """Cells of 16-bit lanes cut from one 64-bit hash, or from two of 32 bits."""
+    per = 4 // len(hashes)
+    lanes_ = [f"(h{i // per} >> {16 * (i % per)}) & 65535" for i in range(4)]
+    rows = " UNION ALL ".join(f"SELECT packet_id, {i} AS r, {l} AS l FROM hashed" for i, l in enumerate(lanes_))
+    tables = " JOIN ".join(f"(SELECT packet_id, h AS h{i} FROM ({sql})) t{i}" for i, sql in enumerate(hashes))
+    on = " USING (packet_id)" if len(hashes) > 1 else ""
+    return f"""WITH hashed AS (SELECT * FROM {tables}{on}), rows_ AS ({rows}), upd AS (
+  SELECT r, l & 511 AS col, {sign_of("l")} AS sgn FROM rows_ JOIN events ON event_id = packet_id AND event_type <> 'error'),
+cells AS (SELECT r, col, sum(sgn) AS v FROM upd GROUP BY r, col)
+{CELL_ROWS}"""
+
+
+ORACLES["cs_cells_jhash"] = _byte_hash_cells([_jhash(0x2D31E867), _jhash(0x6AD611C4)])
+ORACLES["cs_cells_murmur3"] = _byte_hash_cells([_murmur3(0x2D31E867), _murmur3(0x6AD611C4)])
+ORACLES["cs_cells_siphash"] = _byte_hash_cells([_siphash((0x2D31E867).to_bytes(8, "little") * 2)])
+
+
 def _row_hash_cells(hashes: list[str]) -> str:
     """Cells of one 32-bit hash per row; bit 31 is the sign."""
     rows = " UNION ALL ".join(f"SELECT {r} AS r, packet_id, h FROM ({sql})" for r, sql in enumerate(hashes))
@@ -585,6 +599,7 @@ SELECT CAST(r * 512 + col AS BIGINT) AS flat, CAST(r AS INTEGER) AS "row", CAST(
 
 COUNTERS = "count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes"
 ORACLES["packet_byte_counts"] = with_(EV) + f"SELECT cpu, {COUNTERS} FROM flows GROUP BY cpu"
+ORACLES["packet_counts"] = with_(EV) + "SELECT proto, count(*) AS packets FROM flows GROUP BY proto"
 ORACLES["proto_counts"] = with_(EV) + "SELECT proto, count(*) AS packets FROM ev GROUP BY proto"
 
 HOURLY = f"""counted AS (SELECT cpu, time_bucket(INTERVAL 1 HOUR, ts) AS ts, {COUNTERS} FROM flows GROUP BY 1, 2),
@@ -685,11 +700,16 @@ ORACLES["key_totals"] = with_(
     "counted AS (SELECT r, col, sum(n) AS v FROM upd GROUP BY ALL)",
 ) + """
 SELECT "user", peer, n, CAST(min(v) AS BIGINT) AS est FROM upd JOIN counted USING (r, col) GROUP BY ALL"""
+# The grid of probabilities and seeds.
+SWEEP_P = (0.01, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+SWEEP_SEEDS = (1234, 2375, 3522, 23738, 1918)
 ORACLES["sampled_sweep"] = _sweep(SWEEP_P, SWEEP_SEEDS) + f"""
 SELECT p, round(avg(abs(est - n)), 6) AS mean_abs_error, round(avg(est - n), 6) AS mean_error, count(*) AS estimates
 FROM est JOIN keys USING ({KEY}) GROUP BY p"""
 ORACLES["sampled_run_log"] = _sweep((0.1, 0.5, 1.0), (1234, 2375)) + f"""
-SELECT p, seed, count(*) AS keys, CAST(sum(n) AS BIGINT) AS packets, round(avg(abs(est - n)), 6) AS mean_abs_error
+, hours AS (SELECT count(*) AS packets, sum(wire_len) AS bytes FROM flows GROUP BY time_bucket(INTERVAL 1 HOUR, ts))
+SELECT p, seed, count(*) AS keys, CAST(sum(n) AS BIGINT) AS packets, round(avg(abs(est - n)), 6) AS mean_abs_error,
+  (SELECT round(avg(packets), 6) FROM hours) AS avg_packets, (SELECT round(avg(bytes), 6) FROM hours) AS avg_bytes
 FROM est JOIN keys USING ({KEY}) GROUP BY p, seed"""
 
 SLOTS = (
@@ -733,6 +753,17 @@ ORACLES["layered_cells"] = with_(LI, layered_updates(), DEEP_CELLS) + LAYER_ROWS
 ORACLES["layered_nested"] = with_(LI, layered_updates(), NESTED_CELLS) + LAYER_ROWS + "nested"
 
 
+ORACLES["layered_cells_fasthash"] = f"""WITH wide AS ({ORACLES["hash_fasthash64"]}), layer_hashes AS ({ORACLES["hash_fasthash32"]}),
+hashed AS (
+  SELECT packet_id, wide.h AS h, CASE WHEN l.h & 4294967294 = 0 THEN 15
+    ELSE least((SELECT min(i) FROM range(1, 32) t(i) WHERE (l.h >> CAST(i AS BIGINT)) & 1 = 1) - 1, 15) END AS layer
+  FROM wide JOIN layer_hashes l USING (packet_id) JOIN events ON event_id = packet_id AND event_type <> 'error'),
+upd AS (SELECT layer, r, ((h >> (16 * r)) & 511) AS col, CASE WHEN ((h >> (16 * r)) & 32768) <> 0 THEN 1 ELSE -1 END AS sgn
+  FROM hashed, range(4) t(r)),
+deep AS (SELECT layer, r, col, sum(sgn) AS v FROM upd GROUP BY ALL)
+{LAYER_ROWS}deep"""
+
+
 def heaps(by: str = "", scale: str = "1", taken: str = "upd", candidates: str = "upd") -> str:
     """CTE ``heap``: the 64 largest positive estimates per layer (and ``by``)."""
     own = f"{by}, " if by else ""

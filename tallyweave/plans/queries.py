@@ -319,6 +319,18 @@ def cs_cells_fasthash(spark, d):
     return cells.build_count_sketch(ev_counted(spark, d), SketchSpec(family="fast"), pre_aggregate=True)
 
 
+def _family_query(name: str, family: str) -> None:
+    def run(spark, d):
+        return cells.build_count_sketch(ev_counted(spark, d), SketchSpec(family=family), pre_aggregate=True)
+
+    QUERIES[name] = run
+
+
+_family_query("cs_cells_jhash", "jhash")
+_family_query("cs_cells_murmur3", "murmur3")
+_family_query("cs_cells_siphash", "siphash")
+
+
 @query
 def cs_cells_bytes(spark, d):
     """Bytes instead of packets."""
@@ -405,6 +417,12 @@ def packet_byte_counts(spark, d):
     return rates.totals(ev_counted(spark, d), by=("cpu",))
 
 
+@query
+def packet_counts(spark, d):
+    """Packets per protocol, with the counter of bytes turned off."""
+    return rates.totals(ev_counted(spark, d), by=("proto",), bytes=False)
+
+
 @query
 def proto_counts(spark, d):
     return rates.per_protocol(ev(spark, d))
@@ -494,16 +512,19 @@ def sampled_sweep(spark, d):
 
 @query
 def sampled_run_log(spark, d):
-    """Sweep results appended to a CSV log by probability, and read back."""
-    found = sweep.sweep_estimates(ev_counted(spark, d), SPEC, "packet_id", ps=(0.1, 0.5, 1.0), seeds=(1234, 2375))
+    """Sweep results and average counters of an hour appended to a CSV log by probability, and read back."""
+    packets = ev_counted(spark, d)
+    found = sweep.sweep_estimates(packets, SPEC, "packet_id", ps=(0.1, 0.5, 1.0), seeds=(1234, 2375))
+    hourly = rates.per_interval(packets, HOUR, fill=False).agg(F.avg("packets"), F.avg("bytes")).first()
     runs = found.groupBy("p", "seed").agg(
         F.count(F.lit(1)).alias("keys"),
         F.sum("n").alias("packets"),
         F.round(F.avg(F.abs(F.col("est") - F.col("n"))), 6).alias("mean_abs_error"),
+        *[F.round(F.lit(x), 6).alias(name) for x, name in zip(hourly, ("avg_packets", "avg_bytes"))],
     )
     path = fresh_path(spark, "runs")
     stores.append_run_log(runs, path)
-    return spark.read.schema("seed int, keys bigint, packets bigint, mean_abs_error double, p double").csv(path)
+    return spark.read.schema("seed int, keys bigint, packets bigint, mean_abs_error double, avg_packets double, avg_bytes double, p double").csv(path)
 
 
 @query
@@ -532,6 +553,12 @@ def layered_cells(spark, d):
     return layered.build_layered(li_counted(spark, d), LAYERED)
 
 
+@query
+def layered_cells_fasthash(spark, d):
+    """Lanes and layers of the published hashes: 64 bits for the cells, another 32 for the layer."""
+    return layered.build_layered(ev_counted(spark, d), LAYERED.with_(family="fast"), pre_aggregate=True)
+
+
 @query
 def layered_nested(spark, d):
     return cells.nested(layered.build_layered(li_counted(spark, d), LAYERED), LAYERED)

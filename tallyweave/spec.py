@@ -12,8 +12,8 @@ DEFAULT_SEED = 0x2D31E867
 DEFAULT_LAYER_SEED = 0xDEADBEEF
 DEFAULT_ROW_SEEDS = (0x2D31E867, 0x6AD611C4, 0x00000000, 0xFFFFFFFF)
 
-#: One hash split into 16-bit lanes, one lane per row.
-LANE_FAMILIES = ("xx", "fast", "md5")
+#: One hash split into 16-bit lanes, one lane per row. Families of 32-bit hashes take two, with the first two row seeds.
+LANE_FAMILIES = ("xx", "fast", "md5", "jhash", "murmur3", "siphash", "xxhash64")
 #: One 32-bit hash per row, each with its own seed.
 ROW_FAMILIES = ("xx_rows", "xxhash32_rows", "fasthash32_rows", "md5_rows")
 

@@ -80,3 +80,12 @@ def test_intervals_fill_holes(spark, skewed):
 def test_totals_and_protocols(skewed):
     assert tuple(rates.totals(skewed).first()) == (20000, 2_000_000)
     assert [tuple(r) for r in rates.per_protocol(skewed).collect()] == [(6, 20000)]
+
+
+def test_counters_can_be_turned_off(skewed):
+    assert rates.totals(skewed, by=("proto",), bytes=False).columns == ["proto", "packets"]
+    assert rates.totals(skewed, by=("proto",), packets=False).columns == ["proto", "bytes"]
+    nothing = rates.totals(skewed, by=("cpu",), packets=False, bytes=False)
+    assert nothing.columns == ["cpu"] and nothing.count() == 4
+    with pytest.raises(ValueError):
+        rates.per_interval(skewed, 60, packets=False, bytes=False)
