@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.frames import bounded, map_arrow
+from tallyweave.llm.frames import bounded, map_arrow, map_batches
 from tallyweave.session import stored
 
 #: Partial wrappers of a host are merged in so many parts first.
@@ -81,6 +81,17 @@ ASIDE_WORDS = frozenset(
     "pager share sharing social related recommended recommendations toolbar login widget search complementary "
     "contentinfo form hidden".split()
 )
+#: Words that may stand beside them in a name; a name with any other word ("search-results") says nothing.
+NEUTRAL_WORDS = frozenset(
+    "list box bar block section area wrap wrapper container content inner outer item items link links button buttons top bottom "
+    "left right main site page module panel region row col column text title icon group unit the a of".split()
+)
+#: Blocks of text are judged by these words only.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption li dt dd td th tr".split())
+TEXT_ASIDE_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored cookie cookies consent newsletter comment comments "
+    "commentlist disqus reply replies respond hidden".split()
+)
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond".split())
 MAIN_WORDS = frozenset(["main", "articlebody"])
 
@@ -107,14 +118,20 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
+def marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of the words, or made of them and neutral ones."""
+    words = set(WORD.findall(name))
+    return bool(words & marks) and words <= marks | NEUTRAL_WORDS
+
+
 def element(name: str, attributes: str) -> Node:
     if not attributes.strip():
         return Node(name, name, name in LEFT_OUT, name == "main")
     found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
     classes = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(WORD.findall(f"{classes} {found.get('role', '')}".lower()))
-    roots = name in ("html", "body", "main", "article")
-    aside = name in LEFT_OUT or bool(words & (COMMENT_WORDS if roots else ASIDE_WORDS)) and name not in ("html", "body")
+    named = f"{classes} {found.get('role', '')}".lower().split()
+    marks = COMMENT_WORDS if name in ("main", "article") else TEXT_ASIDE_WORDS if name in TEXT_BLOCKS else ASIDE_WORDS
+    aside = name in LEFT_OUT or name not in ("html", "body") and any(map(marked, named, [marks] * len(named)))
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         aside = True
@@ -324,23 +341,25 @@ def slot_chars(x: Item, fixed: frozenset[str]) -> int:
     return own + sum(slot_chars(y, fixed) for y in x[6])
 
 
+def texts_of(row: list[Item]) -> Iterator[Item]:
+    """The texts of a wrapper in page order, without what is left out anyway."""
+    for x in row:
+        if not x[5] & 1:
+            if x[0] == "#":
+                yield x
+            yield from texts_of(x[6])
+
+
 def fixed_texts(row: list[Item], pages: int) -> list[str]:
     """Keys of the texts that all pages show at one place and that are not left out anyway. Where nearly all is on all
     pages, these are copies of one article, and none of it is fixed."""
     found: dict[str, int] = {}
     chars = blocks = 0
-
-    def collect(row: list[Item]) -> None:
-        nonlocal chars, blocks
-        for x in row:
-            if not x[5] & 1:
-                found.update(x[7])
-                chars, blocks = chars + x[4], blocks + x[8]
-                collect(x[6])
-
     if pages < FIXED_PAGES:
         return []
-    collect(row)
+    for x in texts_of(row):
+        found.update(x[7])
+        chars, blocks = chars + x[4], blocks + x[8]
     same, n = pages * sum(found.values()), pages * len(found)
     if same >= COPIES * (chars - same) and n >= COPIES * (blocks - n):
         return []
@@ -392,26 +411,35 @@ def extract(page: str, found: dict) -> str:
     tree = parse(page)
     roots, beside = _named(tree, found["root"]), found.get("beside", False)
     if found["root"] and not roots:
-        own = rule(items(tree.children), 1)
-        roots, beside = _named(tree, own["root"]), own.get("beside", False)
+        alone = rule(items(tree.children), 1)
+        roots, beside = _named(tree, alone["root"]), alone.get("beside", False)
     fixed = set(found["fixed"])
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool, bool]] = []  # text, fixed, may stay though fixed
+    own: list[int] = []  # places of texts in the article that are this page's own
     # Without links: what stands beside the roots.
-    todo = [(root, path, False) for root, path in reversed(roots)]
+    todo = [(root, path, False, "") for root, path in reversed(roots)]
     if beside or not roots:
-        todo = [(tree, b"", bool(roots))]
+        todo = [(tree, b"", bool(roots), "")]
     whole = {id(root) for root, _ in roots}
     while todo:
-        node, path, outside = todo.pop()
+        node, path, outside, parent = todo.pop()
         if node.name != "#":
             outside = outside and id(node) not in whole
             inner = below(path, node.token) if fixed and node is not tree else path
-            todo += [(x, inner, outside) for x in reversed(node.children) if not x.aside]
+            todo += [(x, inner, outside, node.name) for x in reversed(node.children) if not x.aside]
         elif not (outside and node.linked):
             text = " ".join(node.text.split())
-            if text and not (fixed and key(path, text) in fixed):
-                blocks.append(text)
-    return " ".join(blocks)
+            if text:
+                same = bool(fixed) and key(path, text) in fixed
+                inside = bool(roots) and not outside and not node.linked
+                if inside and not same:
+                    own.append(len(blocks))
+                blocks.append((text, same, inside and parent in TEXT_BLOCKS))
+    # A fixed heading, paragraph or list item between texts of this page's own is a part that the articles of a host
+    # share; a fixed text in a mere container, or before or after all of them, is a frame.
+    return " ".join(
+        text for i, (text, same, stays) in enumerate(blocks) if not same or stays and own and own[0] < i < own[-1]
+    )
 
 
 def _named(tree: Node, token: str) -> list[tuple[Node, bytes]]:
@@ -489,9 +517,12 @@ def infer(pages: DataFrame) -> DataFrame:
         if key is not None:
             yield _batch([(*key, json.dumps(wrapper, ensure_ascii=False), total)])
 
-    partial = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(read, PARTIAL)
-    salted = partial.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(merge, PARTIAL)
-    whole = salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host").mapInArrow(merge, PARTIAL)
+    # Wrappers are merged in the order of their texts, not of their arrival, so a repeated run gives the same.
+    order = ["host", "salt", "pages", "wrapper"]
+    partial = map_batches(pages.select(host(F.col("url")).alias("host"), "html"), read, PARTIAL)
+    salted = map_batches(partial.repartition("host", "salt").sortWithinPartitions(*order), merge, PARTIAL)
+    single = salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions(*order)
+    whole = map_batches(single, merge, PARTIAL)
     return whole.drop("salt")
 
 

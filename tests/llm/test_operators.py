@@ -118,6 +118,44 @@ def test_odd_rows(spark, odd, empty, data_dir):
     assert set(langs.values()) == {"und"}
 
 
+@pytest.mark.parametrize("pages", [2, 3, 50])
+@pytest.mark.parametrize("element", ["article", "div id=content"])
+def test_shared_headings_stay_in_the_article(spark, pages, element):
+    """Headings that all pages share stand between texts that differ; what is before and after all of these is a frame."""
+    page = (
+        "<body><div>Our kitchen site</div><{0}><p>You are here</p><h1>Dish {1}</h1><h2>Ingredients</h2><p>Some of {1} and a lot of {2}</p>"
+        "<h2>Method</h2><p>Stir {2} for long, then add {1} to it</p><p>All rights kept</p></{3}></body>"
+    )
+    rows = [(i, f"http://cook.example/{i}", page.format(element, f"thing{i}", f"stuff{i * 7}", element.split()[0])) for i in range(pages)]
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in found.items():
+        own = f"Dish thing{i} Ingredients Some of thing{i} and a lot of stuff{i * 7} Method Stir stuff{i * 7} for long, then add thing{i} to it"
+        assert own in text
+        if pages > 2:
+            assert text == own
+
+
+def test_names_decide_only_as_whole(spark):
+    inside = (
+        "<article><h1>T{0}</h1><div class='search-results'>found {0}</div><section class='related-work'>earlier {0}</section>"
+        "<p class='share'>Share price {0}</p><div class='comment-list'>a reader</div><div class='site-footer'>foot</div>"
+        "<li class='comment'>another</li><div class='ad'>buy</div><div id='cookie-notice'>we use</div></article>"
+    )
+    rows = [(i, f"http://n.example/{i}", inside.format(i)) for i in range(4)]
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"T{i} found {i} earlier {i} Share price {i}" for i in range(4)}
+
+
+def test_odd_pages(spark):
+    rows = [(1, "http://h.example/a", "<p>one</p>"), (1, "http://h.example/a", "<p>one</p>"), (None, None, "<p>two</p>"), (3, "x", "<p>" + "word " * 200000 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "rule", "text", "n_chars", "salt", "wrapper", "pages"):
+        df = df.withColumn(name, F.lit("clash"))
+    found = rows_of = sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in wrappers.main_text(df).collect()))
+    assert [x[0] for x in rows_of] == [0, 1, 1, 3] and found[0][1] == "two" and found[1][1:] == ("one", 3) and found[3][2] == 5 * 200000 - 1
+    assert wrappers.main_text(df.limit(0)).count() == 0
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body class='x sidebar'><header>Site</header><nav><ul><li>a<li>b</ul></nav>"
@@ -277,6 +315,30 @@ def test_fingerprints_against_plain_python(spark, data_dir):
         edited = texts[i][: len(texts[i]) - half] + following[:half]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(texts[i])
         assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+    # Likeness is that of the printed fingerprints, by plain edit distance; equal texts have equal fingerprints.
+    prints = found.fingerprint.tolist()
+    assert len({(t, p) for t, p in zip(texts, prints)}) == len(set(texts))
+    for i, r in enumerate(found.itertuples()):
+        assert r.near_edited == pytest.approx(alike(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(alike(r.fingerprint, prints[(i + 1) % len(prints)]))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def alike(a, b):
+    (size_a, *parts_a), (size_b, *parts_b) = a.split(":"), b.split(":")
+    sides_a, sides_b = ({int(s): parts[0], 2 * int(s): parts[1]} for s, parts in ((size_a, parts_a), (size_b, parts_b)))
+    if a == b:
+        return 1.0
+    scores = [1 - edits(sides_a[k], sides_b[k]) / max(len(sides_a[k]), len(sides_b[k]), 1) for k in sides_a if k in sides_b and (sides_a[k] or sides_b[k])]
+    return max(scores, default=0.0)
 
 
 def test_held_out_accuracy(spark, data_dir):

@@ -52,3 +52,19 @@ def test_stages(spark, data_dir):
     taken = sum(len(r["text"].split()) for r in mixed)
     assert {r["doc_id"] for r in mixed} <= stay and abs(taken - 1.5 * sum(size.values())) < 0.05 * sum(size.values())
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed} and all(r["length"] <= 2048 for r in packed)
+
+
+def test_stages_with_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls in every column, repeated and missing ids, empty and very long texts, clashing names; and no rows at all."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for docs, rows in ((odd, 12), (empty, 0)):
+        columns, before = docs.columns, rows
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, str(tmp_path)), "stage")
+            if name != "packing":
+                assert docs.columns == columns
+            if name in ("quality classifier", "line dedup", "n-gram Jaccard join"):
+                assert docs.count() <= before
+                before = docs.count()
+        assert (docs.count() > 0) == (rows > 0)
