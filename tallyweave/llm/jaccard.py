@@ -175,9 +175,11 @@ def frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
             break
         lowest = row["class"]
     rows = found.where(F.col("class") >= lowest).toArrow()  # at most most_hot rows
-    tokens, classes = np.asarray(rows["token"]).astype(np.uint64), np.asarray(rows["class"])
+    tokens, classes = np.asarray(rows["token"]).astype(np.uint64), np.asarray(rows["class"]).astype(np.int16)
+    del rows
+    pa.default_memory_pool().release_unused()
     order = np.argsort(tokens)
-    return tokens[order], classes[order].astype(np.int16)
+    return tokens[order], classes[order]
 
 
 def prefix(tokens: np.ndarray, hot: np.ndarray, classes: np.ndarray, join: Join) -> np.ndarray:

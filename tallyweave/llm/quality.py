@@ -208,6 +208,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+def weighed(features: pa.Array, ratio: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features that have a ratio, their ratios at unit length) of every row, as parts of two arrays."""
+    features = features.cast(pa.large_binary())
+    flat = np.frombuffer(features.buffers()[2] or b"", dtype=np.int32)
+    offsets = np.frombuffer(features.buffers()[1], dtype=np.int64)[features.offset : features.offset + len(features) + 1] // 4
+    kept = ratio[flat] != 0
+    ends = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    at = flat[kept]
+    values = ratio[at]
+    out = []
+    for start, stop in zip(ends, ends[1:]):
+        part = values[start:stop]
+        part /= max(np.sqrt(part @ part), 1e-12)
+        out.append((at[start:stop], part))
+    return out
+
+
 def fit(rows: DataFrame, training: Training) -> Model:
     """From (doc_id, quality, features) of all training documents."""
     counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
@@ -220,13 +237,9 @@ def fit(rows: DataFrame, training: Training) -> Model:
     sample = rows.where(draw < training.sample_rows / total).select("doc_id", "quality", "features").toArrow()
     order = np.argsort(np.asarray(sample["doc_id"].cast(pa.string()), dtype=object).astype(str), kind="stable")
     y = np.where(np.asarray(sample["quality"])[order] == 1, 1.0, -1.0)
-    packed = [sample["features"][int(i)].as_py() for i in order]
-    vectors = []
-    for p in packed:
-        at = np.frombuffer(p, dtype=np.int32)
-        at = at[ratio[at] != 0]
-        values = ratio[at]
-        vectors.append((at, values / max(np.sqrt(values @ values), 1e-12)))
+    vectors = weighed(sample["features"].combine_chunks().take(pa.array(order)), ratio)
+    del sample
+    pa.default_memory_pool().release_unused()
     aside = np.arange(len(vectors)) % 5 == 0
     seen = [v for v, a in zip(vectors, aside) if not a]
     weights = dual_descent(seen, y[~aside], DIMENSIONS, training.cost, training.epochs, training.seed)
