@@ -242,6 +242,28 @@ def test_texts_beside_the_largest_element_stay():
     assert wrappers.extract("<p>a<p>b", {"root": "div.none", "fixed": [], "beside": True}) == "a b"
 
 
+def test_a_host_is_rejected_with_its_good_documents(spark):
+    """Most texts of one host are full of symbols, which is no base rule: its good texts go too. A host with one such text is judged
+    by the prior more than by this text; a null host is a host of its own."""
+    good, bad = " ".join(f"word{i}" for i in range(60)), " ".join(f"#{i}" for i in range(60))
+    hosts = {"junk": (36, 4), "fine": (3, 57), "small": (1, 0), None: (0, 5)}
+    texts = [(host, text) for host, (failed, fine) in hosts.items() for text in [bad] * failed + [good] * fine] + [("fine", "few words")]
+    docs = spark.createDataFrame([(i, text, host) for i, (host, text) in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in hostrules.judge(docs, F.col("source")).collect()}
+    size = {h: a + b + (h == "fine") for h, (a, b) in hosts.items()}
+    broken = {h: a + (h == "fine") for h, (a, _) in hosts.items()}
+    n, mean = sum(size.values()), sum(broken.values()) / sum(size.values())
+    spread = sum(size[h] * (broken[h] / size[h] - mean) ** 2 for h in hosts) / n
+    strength = mean * (1 - mean) / (spread - mean * (1 - mean) * len(hosts) / n) - 1
+    share = {h: (broken[h] + mean * strength) / (size[h] + strength) for h in hosts}
+    assert share["junk"] > 0.5 > max(share["fine"], share[None])
+    for i, (host, text) in enumerate(texts):
+        assert found[i]["host_share"] == pytest.approx(share[host])
+        assert found[i]["base_failed"] == (text == "few words")
+        assert found[i]["kept"] == (text != "few words" and share[host] <= 0.5)
+    assert not any(found[i]["kept"] for i, (host, text) in enumerate(texts) if host == "junk" and text == good)
+
+
 def test_full_licences_are_known(spark):
     from pathlib import Path
 
