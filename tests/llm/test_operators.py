@@ -6,11 +6,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.llm import (
-    components, fingerprint, hostrules, jaccard, language, licences, linededup, mixing, oracles, packing, quality, queries, wrappers,
+    components, fingerprint, hostrules, jaccard, language, licences, linededup, mixing, oracles, packing, quality, queries, textcols,
+    wrappers,
 )
 
 TABLES = ("documents", "labels", "pages", "conversations")
@@ -388,3 +390,33 @@ def test_gradients_against_differences():
         down, _ = language.gradients(net, codes, labels)
         p[at] = before
         assert abs((up - down) / 2e-2 - g[at]) < 2e-3
+
+
+def test_pooling_against_a_network_of_plain_loops():
+    """Each text by itself, window by window and byte by byte, in both directions; only letters count."""
+    net = language.Network.fresh(["a", "b", "c"], 5)
+    texts = ["abc, déf 12!", "", None, "...", "Zwölf " * 90, "x" * language.WINDOW, "y" * (language.WINDOW + 1), "中文 and more"]
+    found = np.concatenate([language.pooled(net, part) for _, part in textcols.slices(pa.array(texts, pa.string()))])
+
+    def states(given, inner, codes):
+        out, state, h = [], np.zeros(language.HIDDEN), language.HIDDEN
+        for code in codes:
+            gates = np.clip((given[code][: 2 * h] + state @ inner[:, : 2 * h]) * 0.25 + 0.5, 0, 1)
+            candidate = np.clip(given[code][2 * h :] + (gates[:h] * state) @ inner[:, 2 * h :], -1, 1)
+            state = state + gates[h:] * (candidate - state)
+            out.append(state)
+        return out
+
+    for row, text in zip(found, texts):
+        data, total, letters = (text or "").encode(), np.zeros(3), 0
+        for start in range(0, len(data), language.WINDOW):
+            codes = list(data[start : start + language.WINDOW])
+            codes += [language.PAD] * (language.WINDOW - len(codes))
+            ahead = states(net.given[0], net.inner[0], codes)
+            back = states(net.given[1], net.inner[1], codes[::-1])[::-1]
+            for code, x, y in zip(codes, ahead, back):
+                if code < 256 and (chr(code).isalpha() and code < 128 or code >= 128):
+                    logits = x @ net.outer[0] + y @ net.outer[1] + net.bias
+                    p = np.exp(logits - logits.max())
+                    total, letters = total + p / p.sum(), letters + 1
+        assert np.allclose(row, total / max(letters, 1), atol=1e-4)
