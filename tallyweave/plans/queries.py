@@ -745,10 +745,16 @@ def stream_state_cells(spark, d):
 
 @query
 def stream_packets_cells(spark, d):
-    """Frames that arrive as files, decoded and counted."""
+    """Frames that arrive as files, decoded and counted.
+
+    They come in four micro-batches, each of as many files as Spark splits the table into, so that files stay small
+    and a batch has work for every core.
+    """
     path = fresh_path(spark, "packets")
-    frames.encode_frames(ev_counted(spark, d)).select(*schemas.PACKET.names).repartition(4).write.parquet(path)
-    flows = frames.decode_frames(frames.stream_packets(spark, path, files=1))
+    packets = ev_counted(spark, d)
+    files = max(1, packets.rdd.getNumPartitions())
+    frames.encode_frames(packets.repartition(4 * files)).select(*schemas.PACKET.names).write.parquet(path)
+    flows = frames.decode_frames(frames.stream_packets(spark, path, files=files))
     table = VersionedTable(spark, fresh_path(spark, "stream-cells"))
     summaries.start_cells(flow_tables.counted(flows), SPEC, table, fresh_path(spark, "checkpoint")).awaitTermination()
     return table.latest()

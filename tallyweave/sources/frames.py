@@ -11,7 +11,6 @@ from tallyweave.sources import schemas as S
 # Header lengths in bytes. The transport header is always looked for right after
 # 20 bytes of IPv4 header; IP options are not skipped.
 ETHERNET, VLAN_TAG, IPV4, TCP, UDP = 14, 4, 20, 20, 8
-MAX_TAGS = 2
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -23,75 +22,69 @@ def stream_packets(spark: SparkSession, path: str, files: int = 64) -> DataFrame
     return spark.readStream.schema(S.PACKET).option("maxFilesPerTrigger", files).parquet(path)
 
 
-#: No header field lies beyond this byte of a frame.
-HEADERS = ETHERNET + VLAN_TAG * MAX_TAGS + IPV4 + TCP
+def _bytes_at(frame: Column, offset: Column | int, size: int) -> Column:
+    """Bytes from an offset, fewer where the frame ends."""
+    return F.substr(frame, (F.lit(offset) if isinstance(offset, int) else offset) + 1, F.lit(size))
 
 
-def _number(hex_headers: Column, offset: Column | int, size: int) -> Column:
-    """Big-endian unsigned number of up to 7 bytes at a byte offset."""
-    start = (F.lit(offset) if isinstance(offset, int) else offset) * 2 + 1
-    return F.conv(F.substr(hex_headers, start, F.lit(size * 2)), 16, 10).cast("bigint")
+def _binary(number: int, size: int) -> Column:
+    return F.lit(number.to_bytes(size, "big"))
+
+
+def _number(hex_digits: Column) -> Column:
+    """Unsigned number of up to 15 hex digits."""
+    return F.conv(hex_digits, 16, 10).cast("bigint")
 
 
 def decode_frames(packets: DataFrame, frame: str = "frame") -> DataFrame:
     """Replace a ``frame`` column by the flow columns and a verdict.
 
     Up to two VLAN tags are stripped. A frame that is not IPv4 passes; one that
-    is too short or carries neither TCP nor UDP is an error. Headers are read from
-    zero-padded hex; lengths decide which of them the frame really has.
+    is too short or carries neither TCP nor UDP is an error. Lengths decide which headers
+    a frame really has; bytes that an EtherType lacks count as zero.
+
+    Spark moves a filter on the verdict below all projections, where whatever it is made of stands once per use. So
+    it only measures and compares bytes, and is short enough to be compiled; numbers are read apart from it.
     """
-    headers = F.rpad(F.hex(F.substring(F.col(frame), 1, HEADERS)), HEADERS * 2, "0")
-    staged = packets.withColumns({"_hex": headers, "_len": F.length(F.col(frame))})
-    hex_headers, size = F.col("_hex"), F.col("_len")
-    # The EtherType, and the next one after a tag, are read together.
-    staged = staged.withColumns({"_t01": _number(hex_headers, 12, 6), "_t2": _number(hex_headers, 20, 2)})
-    types = [F.shiftright("_t01", 32), F.col("_t01").bitwiseAND(F.lit(0xFFFF)), F.col("_t2")]
-
-    one = (size >= ETHERNET) & types[0].isin(*S.ETHERTYPE_VLANS)
-    two = one & (size >= ETHERNET + VLAN_TAG) & types[1].isin(*S.ETHERTYPE_VLANS)
-    staged = staged.withColumn("vlan_depth", F.when(two, 2).when(one, 1).otherwise(0))
-
-    depth = F.col("vlan_depth")
-    ether_type = F.when(depth == 0, types[0]).when(depth == 1, types[1]).otherwise(types[2])
+    data, size = F.col(frame), F.length(F.col(frame))
+    vlans = [_binary(t, 2) for t in S.ETHERTYPE_VLANS]
+    first, second = (_bytes_at(data, ETHERNET - 2 + VLAN_TAG * k, 2).isin(*vlans) for k in (0, 1))
+    staged = packets.withColumn("vlan_depth", F.when(first, F.when(second, 2).otherwise(1)).otherwise(0))
+    staged = staged.withColumn("_ip", ETHERNET + VLAN_TAG * F.col("vlan_depth"))
+
     ip = F.col("_ip")
-    staged = staged.withColumns({"ether_type": ether_type.cast("int"), "_ip": ETHERNET + VLAN_TAG * depth})
+    type_bytes, proto_byte = _bytes_at(data, ip - 2, 2), _bytes_at(data, ip + 9, 1)
+    tcp, udp = (proto_byte == _binary(p, 1) for p in (S.PROTO_TCP, S.PROTO_UDP))
+    is_ipv4 = type_bytes == _binary(S.ETHERTYPE_IPV4, 2)
+    # Bytes that are not there equal nothing, so a cut header fails too; without TCP or UDP there is no length to reach.
+    whole = size - F.when(tcp, TCP).when(udp, UDP) >= ip + IPV4
+    verdict = F.when(is_ipv4 & whole, S.COUNTED).when((size >= ip) & ~is_ipv4, S.PASS).otherwise(S.ERROR_DROP)
+    proto = F.when(tcp, S.PROTO_TCP).when(udp, S.PROTO_UDP)
+    ether_type = _number(F.rpad(F.hex(type_bytes), 4, "0")).cast("int")
+    staged = staged.withColumns({"ether_type": ether_type, "proto": proto, "verdict": verdict})
+
+    ok = F.col("verdict") == S.COUNTED
+    # Both addresses and both ports as two numbers of six bytes.
+    staged = staged.withColumn("_hex", F.when(ok, F.hex(_bytes_at(data, ip + 12, 12))))
+    staged = staged.withColumns({"_w0": _number(F.substring("_hex", 1, 12)), "_w1": _number(F.substring("_hex", 13, 12))})
+    w0, w1 = F.col("_w0"), F.col("_w1")
     staged = staged.withColumns(
         {
-            "proto": _number(hex_headers, ip + 9, 1).cast("int"),
-            # Both addresses and both ports as two numbers of six bytes.
-            "_w0": _number(hex_headers, ip + 12, 6),
-            "_w1": _number(hex_headers, ip + 18, 6),
+            "src_ip": F.shiftright(w0, 16),
+            "dst_ip": F.shiftleft(w0.bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(F.shiftright(w1, 32)),
+            "src_port": F.shiftright(w1, 16).bitwiseAND(F.lit(0xFFFF)).cast("int"),
+            "dst_port": w1.bitwiseAND(F.lit(0xFFFF)).cast("int"),
+            "proto": F.when(ok, F.col("proto")),
         }
     )
-    proto, w0, w1 = F.col("proto"), F.col("_w0"), F.col("_w1")
-    transport = F.when(proto == S.PROTO_TCP, TCP).when(proto == S.PROTO_UDP, UDP)
-    verdict = (
-        F.when(size < ip, S.ERROR_DROP)
-        .when(F.col("ether_type") != S.ETHERTYPE_IPV4, S.PASS)
-        .when(size < ip + IPV4, S.ERROR_DROP)
-        .when(transport.isNull(), S.ERROR_DROP)
-        .when(size < ip + IPV4 + transport, S.ERROR_DROP)
-        .otherwise(S.COUNTED)
-    )
-    staged = staged.withColumn("verdict", verdict)
-
-    ok = F.col("verdict") == S.COUNTED
-    fields = {
-        "src_ip": F.shiftright(w0, 16),
-        "dst_ip": F.shiftleft(w0.bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(F.shiftright(w1, 32)),
-        "src_port": F.shiftright(w1, 16).bitwiseAND(F.lit(0xFFFF)).cast("int"),
-        "dst_port": w1.bitwiseAND(F.lit(0xFFFF)).cast("int"),
-        "proto": proto,
-    }
-    staged = staged.withColumns({name: F.when(ok, value) for name, value in fields.items()})
     if "wire_len" not in packets.columns:
         staged = staged.withColumn("wire_len", size)
     return staged.withColumns(
         {
-            "dst_mac": F.substring(F.col(frame), 1, 6),
-            "src_mac": F.substring(F.col(frame), 7, 6),
+            "dst_mac": F.substring(data, 1, 6),
+            "src_mac": F.substring(data, 7, 6),
         }
-    ).drop(frame, "_hex", "_len", "_ip", "_t01", "_t2", "_w0", "_w1")
+    ).drop(frame, "_hex", "_ip", "_w0", "_w1")
 
 
 def encode_frames(

@@ -70,3 +70,35 @@ def test_encode_then_decode(spark, skewed):
 def test_decoding_needs_no_python(spark):
     df = spark.createDataFrame([("x", bytearray(LAYOUTS["tcp"][0]))], "name string, frame binary")
     assert "Python" not in frames.decode_frames(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_filter_on_the_verdict_stays_short(spark):
+    """Spark moves it below the projections; there it reads no numbers and compares few bytes."""
+    df = spark.createDataFrame([("x", bytearray(LAYOUTS["tcp"][0])), ("none", None)], "name string, frame binary")
+    counted = frames.decode_frames(df).filter(F.col("verdict") == "COUNTED")
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [line for line in plan if "Filter" in line]
+    assert len(filters) == 1
+    assert "conv(" not in filters[0] and filters[0].count("substr") <= 24
+    assert [r["name"] for r in counted.collect()] == ["x"]
+
+
+def test_every_cut_of_a_frame(spark):
+    """All lengths of all layouts: a verdict as of the headers that are there, an EtherType with zeros for what is not."""
+    whole = {name: f[0] for name, f in LAYOUTS.items() if len(f[0]) < 100}
+    rows = [(name, n, bytearray(f[:n])) for name, f in whole.items() for n in range(len(f) + 1)]
+    found = frames.decode_frames(spark.createDataFrame(rows, "name string, n int, frame binary")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        frame, ip = whole[r.name][: r.n], 14
+        while ip < 22 and frame[ip - 2 : ip] in (b"\x81\x00", b"\x88\xa8"):
+            ip += 4
+        ether_type = int.from_bytes(frame[ip - 2 : ip].ljust(2, b"\0"), "big")
+        proto = frame[ip + 9] if len(frame) > ip + 9 else None
+        if len(frame) >= ip and ether_type != 0x0800:
+            verdict = "PASS"
+        else:
+            verdict = "COUNTED" if proto in (6, 17) and len(frame) >= ip + 20 + {6: 20, 17: 8}[proto] else "ERROR_DROP"
+        counted = verdict == "COUNTED"
+        assert (r.vlan_depth, r.ether_type, r.verdict) == ((ip - 14) // 4, ether_type, verdict)
+        assert (r.proto, r.src_ip) == ((proto, 0x0A000001) if counted else (None, None))

@@ -232,6 +232,27 @@ def test_a_file_is_streamed_without_its_neighbours(spark, data_dir, tmp_path):
     assert counted == queries.ev_counted(spark, data_dir).count()
 
 
+def test_frames_come_in_more_files_where_the_table_is_larger(spark, data_dir, monkeypatch):
+    """Four micro-batches for any table: a batch of a folder of three files has three files."""
+    folder, seen, read = fresh_path(spark, "tables"), [], queries.frames.stream_packets
+    events = spark.read.parquet(f"{data_dir}/events.parquet")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+    def stream_packets(spark, path, files):
+        seen.append((len(spark.read.parquet(path).inputFiles()), files))
+        return read(spark, path, files=files)
+
+    monkeypatch.setattr(queries.frames, "stream_packets", stream_packets)
+    monkeypatch.setattr(queries, "VersionedTable", lambda *a: versions.append(VersionedTable(*a)) or versions[-1])
+    versions = []
+    expected = rows(queries.QUERIES["packets_cells"](spark, data_dir))
+    for d in (data_dir, folder):
+        assert rows(queries.QUERIES["stream_packets_cells"](spark, d)) == expected
+    assert seen == [(4, 1), (12, 3)]
+    assert [t.versions() for t in versions] == [[0, 1, 2, 3]] * 2
+
+
 def test_reader_outlives_three_writes(spark):
     table = VersionedTable(spark, fresh_path(spark, "versions"))
     table.write(spark.range(5), 0)
